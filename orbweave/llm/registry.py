@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, media, quality, token_count, url_filter
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality.op3_quality_rules}
+    return {
+        "op3_quality_rules": quality.op3_quality_rules,
+        "op5_media_columns": media.op5_media_columns,
+        "op6_token_counts": token_count.op6_token_counts,
+        "op9_bpe": bpe.op9_bpe,
+        "op10_url_filter": url_filter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
