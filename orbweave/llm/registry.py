@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, quality, token_count, url_filter
+from . import bpe, language_id, media, near_dup, quality, token_count, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_near_dup": near_dup.op4_near_dup,
         "op5_media_columns": media.op5_media_columns,
         "op6_token_counts": token_count.op6_token_counts,
         "op9_bpe": bpe.op9_bpe,
