@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media, near_dup, quality, token_count, url_filter
+from . import bpe, language_id, media, near_dup, quality, substring, token_count, url_filter
 
 
 def queries() -> dict:
@@ -12,10 +12,11 @@ def queries() -> dict:
         "op4_near_dup": near_dup.op4_near_dup,
         "op5_media_columns": media.op5_media_columns,
         "op6_token_counts": token_count.op6_token_counts,
+        "op8_substring": substring.op8_substring,
         "op9_bpe": bpe.op9_bpe,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op8_substring": substring.oracle()}
