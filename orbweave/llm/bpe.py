@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import prepare, slices, table
 from .word_pieces import WordVocabulary, vocabulary
 
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
 PAIRS_KEPT = 2_000_000
 #: Characters of text that are assembled together.
 CHUNK = 1 << 20
