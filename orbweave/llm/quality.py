@@ -61,19 +61,20 @@ def _covered(windows: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the counts and the ratios of each text."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: Column) -> DataFrame:
+    """doc_id, the carried columns, the counts and the ratios of each text."""
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
     has_word = rf"[^{SPACE}]"
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(*carried, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    first = d.columns[:-1]
     d = d.select(
-        "doc_id",
+        *first,
         "text",
         _words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(has_word)).alias("lines"),
     )
     d = d.select(
-        "doc_id",
+        *first,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -120,16 +121,26 @@ def verdict(thresholds=None) -> Column:
     return ok
 
 
-def judge(docs: DataFrame, thresholds=None, **columns) -> DataFrame:
+def judge(docs: DataFrame, thresholds=None, *carried: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """measure() with base_failed and kept."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return (
-        measure(docs, **columns)
+        measure(docs, id_col, text_col, *carried)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
     )
 
 
+def keep(docs: DataFrame, thresholds=None, **columns) -> DataFrame:
+    """The rows that are kept, with all their own columns and no other.
+
+    The verdict feeds a generator, not a filter: a filter would be pushed below the
+    projections and evaluate the measures' arrays again for every element.
+    """
+    judged = judge(docs, thresholds, F.struct("*").alias("row"), **columns)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return judge(table(spark, sf_dir, "documents")).select(
