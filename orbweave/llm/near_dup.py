@@ -6,6 +6,9 @@
    into an odd sketch, a bitmap that keeps the parity of the samples that fall on each bit.
    The population count of the XOR of two sketches estimates how many samples differ,
    and pairs far below the threshold are dropped before anything is fetched for them.
+   A second odd sketch folds the whole shingle set: each shingle that only one of two sets
+   has flips one bit, so the XOR never has more bits than the sets differ by, and a pair
+   with more than the threshold allows is ruled out for certain.
 3. Candidates come in stars, not in all pairs: each band bucket links its members to one
    pivot, which is linear in the bucket.  Verified links are contracted to components.
    A second round takes other pivots for the buckets that still hold several components.
@@ -135,6 +138,38 @@ def odd_sketch(low: np.ndarray) -> bytes:
     return np.packbits(np.bincount(spots, minlength=SKETCH_BITS) & 1).tobytes()
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """The odd sketch of the whole set, in a power of two of bits that is twice its size or more."""
+    bits = 1 << max(8, int(2 * len(shingles) - 1).bit_length())
+    spots = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(spots, minlength=bits) & 1).tobytes()
+
+
+def _halved(sketches: np.ndarray) -> np.ndarray:
+    """The sketches in half as many bits."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def possible(x: list[bytes], y: list[bytes], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, step: int = 4096) -> np.ndarray:
+    """Which pairs (x[i], y[j]), with the sum of their set sizes, the whole-set sketches allow."""
+    out = np.zeros(len(i), bool)
+    nx, ny = np.array([len(b) for b in x], np.int64)[i], np.array([len(b) for b in y], np.int64)[j]
+    for a, b in set(zip(nx.tolist(), ny.tolist(), strict=True)):
+        rows = np.flatnonzero((nx == a) & (ny == b))
+        for p in range(0, len(rows), max(1, step * 64 // max(a, b))):
+            at = rows[p : p + max(1, step * 64 // max(a, b))]
+            left = np.frombuffer(b"".join([x[k] for k in i[at]]), np.uint64).reshape(len(at), -1)
+            right = np.frombuffer(b"".join([y[k] for k in j[at]]), np.uint64).reshape(len(at), -1)
+            while left.shape[1] > right.shape[1]:
+                left = _halved(left)
+            while right.shape[1] > left.shape[1]:
+                right = _halved(right)
+            bits = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            out[at] = (100 + percent) * bits <= (100 - percent) * sizes[at]
+    return out
+
+
 def most_odd_bits(percent: int = PERCENT) -> int:
     """XOR bits that a pair at the threshold exceeds with a probability below 1e-8.
 
@@ -151,33 +186,34 @@ def most_odd_bits(percent: int = PERCENT) -> int:
 
 
 def describe(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, key, n_shingles, digest, bands and sketch of each row of (doc_id, text, key)."""
+    """doc_id, key, n_shingles, digest, bands and sketches of each row of (doc_id, text, key)."""
     import hashlib
 
     import pyarrow as pa
 
-    names = ["doc_id", "key", "n_shingles", "digest", "bands", "sketch"]
+    names = ["doc_id", "key", "n_shingles", "digest", "bands", "sketch", "parity"]
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8_buffers(batch.column(1))
             for a, b in slices(np.diff(offsets), CHUNK):
-                size, digest, keys, sketches = [], [], [], []
+                size, digest, keys, sketches, whole = [], [], [], [], []
                 for s in shingle_sets(data, offsets[a : b + 1], shingle_words):
                     size.append(len(s))
                     if not len(s):
-                        digest.append(None), keys.append(None), sketches.append(None)
+                        digest.append(None), keys.append(None), sketches.append(None), whole.append(None)
                         continue
                     low = samples(s)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keys.append(bands(low))
                     sketches.append(odd_sketch(low))
+                    whole.append(parity(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(whole, pa.binary())],
                     names=names,
                 )
 
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, digest binary, bands array<long>, sketch binary, parity binary")
 
 
 def _close(pairs: DataFrame, percent: int) -> DataFrame:
@@ -185,13 +221,16 @@ def _close(pairs: DataFrame, percent: int) -> DataFrame:
     import pyarrow as pa
 
     limit = most_odd_bits(percent)
-    sized = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+    sized = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb", "pa", "pb", (F.col("na") + F.col("nb")).alias("size"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= limit)
+                ok = np.bitwise_count(x ^ y).sum(axis=1) <= limit
+                at = np.flatnonzero(ok)
+                ok[at] = possible(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_numpy()[at], at, at, percent)
+                ok = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return sized.mapInArrow(run, "a long, b long")
@@ -219,8 +258,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"))
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"))
     return pairs.join(one, "a").join(two, "b")
 
 
@@ -256,15 +295,15 @@ def _exhaustive(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"),
         F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"),
     )
-    d = members.join(shape, "bucket").join(classes.select("node", "n", "sketch"), "node")
+    d = members.join(shape, "bucket").join(classes.select("node", "n", "sketch", "parity"), "node")
     spot = F.xxhash64(F.lit("block"), "node")
     outside = d.filter("component <> usual").withColumn("i", F.pmod(spot, "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
     every = d.withColumn("j", F.pmod(spot, "columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
-    names = ["bucket", "i", "j", "side", "node", "component", "n", "sketch"]
+    names = ["bucket", "i", "j", "side", "node", "component", "n", "sketch", "parity"]
     both = outside.withColumn("side", F.lit(0)).select(names).union(every.withColumn("side", F.lit(1)).select(names))
     blocks = both.groupBy("bucket", "i", "j").agg(
-        F.collect_list(F.when(F.col("side") == 0, F.struct("node", "component", "n", "sketch"))).alias("x"),
-        F.collect_list(F.when(F.col("side") == 1, F.struct("node", "component", "n", "sketch"))).alias("y"),
+        F.collect_list(F.when(F.col("side") == 0, F.struct("node", "component", "n", "sketch", "parity"))).alias("x"),
+        F.collect_list(F.when(F.col("side") == 1, F.struct("node", "component", "n", "sketch", "parity"))).alias("y"),
     )
 
     def unpack(members):
@@ -282,6 +321,8 @@ def _exhaustive(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
                 sized = 100 * np.minimum(xs[:, None], ys) >= percent * np.maximum(xs[:, None], ys)
                 i, j = np.nonzero(sized & (xc[:, None] != yc))
                 ok = np.bitwise_count(xk[i] ^ yk[j]).sum(axis=1) <= limit
+                i, j = i[ok], j[ok]
+                ok = possible([m["parity"] for m in x], [m["parity"] for m in y], xs[i] + ys[j], i, j, percent)
                 a.append(np.minimum(xn[i[ok]], yn[j[ok]]))
                 b.append(np.maximum(xn[i[ok]], yn[j[ok]]))
             if a:
@@ -303,9 +344,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
     nameless = F.shiftrightunsigned(F.xxhash64("digest"), 3) + F.lit(NAMELESS)
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity")
     )
-    classes = cut(classes.select(F.coalesce("least", nameless).alias("node"), F.col("first.key").alias("key"), "digest", "n", "bands", "sketch"))
+    classes = cut(classes.select(F.coalesce("least", nameless).alias("node"), F.col("first.key").alias("key"), "digest", "n", "bands", "sketch", "parity"))
 
     members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
