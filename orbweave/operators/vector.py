@@ -50,8 +50,10 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, space: str = "cosi
 
 def _near(rows: DataFrame, queries: DataFrame, k: int, space: str, step: int = 512) -> DataFrame:
     found = queries.select("query_id", "embedding").collect()
+    if not found:
+        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
     ids = np.array([r[0] for r in found], np.int64)
-    matrix = np.array([r[1] for r in found], np.float64).reshape(len(found), -1)
+    matrix = np.array([r[1] for r in found], np.float64)
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches):
