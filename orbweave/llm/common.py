@@ -48,6 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished rounds of an iteration left on disk.
+
+    Spark removes shuffle files and checkpoints once the driver has collected the objects
+    that name them, which it would otherwise do every half hour.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, even where body repeats it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 MOST_ROUNDS = 40
 
@@ -21,6 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     for _ in range(MOST_ROUNDS):
         edges = cut(_small_star(_large_star(edges)))
+        release(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

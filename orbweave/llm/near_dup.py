@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, row_key, slices, table, utf8_buffers
+from .common import cut, prepare, release, row_key, slices, table, utf8_buffers
 from .graph_links import components
 
 SHINGLE_WORDS = 5
@@ -363,6 +363,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 
     texts = d.select("key", "text").join(wanted, "key").select("node", "text").dropDuplicates(["node"])
     sets = cut(texts.mapInArrow(packed, "node long, shingles binary"))
+    release(sets.sparkSession)
 
     links = None
     found = classes.select("node", F.col("node").alias("component")).limit(0)
@@ -379,6 +380,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         fresh = _verified(close, sets, percent)
         links = cut(fresh if links is None else links.union(fresh))
         found = cut(components(links))
+        release(found.sparkSession)
 
     named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.join(named, "digest", "left").select("doc_id", "key", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
