@@ -122,23 +122,19 @@ def verdict(thresholds=None) -> Column:
 
 
 def judge(docs: DataFrame, thresholds=None, *carried: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """measure() with base_failed and kept."""
+    """measure() with base_failed and kept.
+
+    The rows come out of a generator, which no filter is pushed below: a filter there would
+    evaluate the measures' arrays again for every element.
+    """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return (
-        measure(docs, id_col, text_col, *carried)
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
-    )
+    d = measure(docs, id_col, text_col, *carried).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
+    return d.select(F.inline(F.array(F.struct(*d.columns))))
 
 
 def keep(docs: DataFrame, thresholds=None, **columns) -> DataFrame:
-    """The rows that are kept, with all their own columns and no other.
-
-    The verdict feeds a generator, not a filter: a filter would be pushed below the
-    projections and evaluate the measures' arrays again for every element.
-    """
-    judged = judge(docs, thresholds, F.struct("*").alias("row"), **columns)
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    """The rows that are kept, with all their own columns and no other."""
+    return judge(docs, thresholds, F.struct("*").alias("row"), **columns).filter("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
