@@ -391,3 +391,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2).drop("key")
+
+
+def oracle() -> str:
+    """The rows of op4_near_dup in DuckDB SQL, from all pairs that share a shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, case when len(ws) = 1 then ws[1] else ws[i] || ' ' || ws[i + 1] end as g
+  from (select *, unnest(range(1, greatest(len(ws), 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= {PERCENT} * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as r from n union select reach.doc_id, links.b from reach join links on links.a = reach.r),
+least as (select doc_id, min(r) as component_id from reach group by doc_id)
+select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept
+from documents left join n using (doc_id) left join least using (doc_id)"""

@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle(), "op8_substring": substring.oracle()}
+    return {"op3_quality_rules": quality.oracle(), "op4_near_dup": near_dup.oracle(), "op8_substring": substring.oracle()}
