@@ -272,14 +272,28 @@ def hard_texts(docs):
     return out
 
 
+def block_counts(texts):
+    vocab = word_pieces.vocabulary(WORD_BPE)
+    block = token_count.Block(vocab)
+    for t in texts:
+        block.add(t)
+    packed = block.packed(b"rows")
+    rows, totals = token_count.block_totals(packed, np.array([token_count.n_pieces(vocab, w) for w in token_count.block_words(packed)], np.int64))
+    assert rows == b"rows"
+    return totals.tolist()
+
+
 def test_counts_equal_the_library(word_tokenizer, hard_texts):
-    pieces = token_count.piece_table(WORD_BPE)
-    assert [pieces.count(t) for t in hard_texts] == [len(e.ids) for e in word_tokenizer.encode_batch(hard_texts, add_special_tokens=False)]
+    assert block_counts(hard_texts) == [len(e.ids) for e in word_tokenizer.encode_batch(hard_texts, add_special_tokens=False)]
+    assert block_counts(["", " "]) == [0, 0]
 
 
-def test_small_tables_change_nothing(word_tokenizer, hard_texts):
-    pieces = token_count.PieceTable(word_pieces.vocabulary(WORD_BPE), rows=10)
-    assert [pieces.count(t) for t in hard_texts[:50]] == [len(e.ids) for e in word_tokenizer.encode_batch(hard_texts[:50], add_special_tokens=False)]
+@pytest.mark.parametrize("size", [1, 500, 10**9])
+def test_the_size_of_blocks_changes_nothing(frame, word_tokenizer, hard_texts, size):
+    pairs = [*enumerate(hard_texts[-40:])]
+    out = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(frame(pairs).repartition(3), WORD_BPE, size=size).collect()}
+    assert out == {i: len(word_tokenizer.encode(t, add_special_tokens=False).ids) for i, t in pairs}
+    assert token_count.count_tokens(frame(pairs).limit(0), WORD_BPE, size=size).count() == 0
 
 
 def test_encoding_equals_the_library(word_tokenizer, hard_texts):
@@ -301,8 +315,8 @@ def test_merging_long_words_equals_short_merging():
 def test_plain_letters_take_the_library_path_to_the_same_end(word_tokenizer):
     safe = [c for c in map(chr, [*range(0x250), *range(0x2000, 0x2070)]) if word_pieces.PLAIN_TEXT.fullmatch(c)]
     texts = [f"{a}b{a}'s {a}! {a}{a}1'" for a in safe]
-    pieces, fast, exact = token_count.piece_table(WORD_BPE), packing.byte_vocabulary(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
-    assert [pieces.count(t) for t in texts] == [len(e.ids) for e in word_tokenizer.encode_batch(texts, add_special_tokens=False)]
+    fast, exact = packing.byte_vocabulary(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    assert block_counts(texts) == [len(e.ids) for e in word_tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [fast.encode(t) for t in texts] == [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
 
 
