@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -95,6 +97,61 @@ def test_terms_that_reveal_an_entity_are_sanitised(frame):
     assert out[0]["row"]["day"] is not None and out[0]["row"]["key"] == "x"
 
 
+def slow_terms(pairs):
+    """(id, (start, end, action) of each disclosing term) by loops over all documents."""
+    word = regex.compile(r"\p{L}+")
+    near, entities, terms = [], defaultdict(set), defaultdict(set)
+    for d, (_, text) in enumerate(pairs):
+        text = text or ""
+        spans = []
+        for span in base_spans(text):
+            kind, a, b = span.split(":")
+            spans.append((int(a), int(b), pii.KINDS.index(kind), text[int(a) : int(b)]))
+        spans.sort()
+        for i, (a, b, kind, value) in enumerate(spans):
+            entity = (kind, value.lower() if kind == 0 else value if kind == 1 else "".join(map(str, digits(value))))
+            entities[entity].add(d)
+            left = max(spans[i - 1][1] if i else 0, a - pii.CONTEXT)
+            right = min(spans[i + 1][0] if i + 1 < len(spans) else len(text), b + pii.CONTEXT)
+            for start, end in ((left, a), (b, right)):
+                for m in word.finditer(text[start : max(start, end)]):
+                    cut = (start == left and left > 0 and m.start() == 0) or (end == right and right < len(text) and m.end() == end - start)
+                    if len(m.group()) >= pii.TERM_LENGTH and not cut:
+                        near.append((d, entity, m.group().lower(), start + m.start(), start + m.end()))
+        for m in word.finditer(text.lower()):
+            terms[m.group()].add(d)
+    beside = defaultdict(set)
+    for d, entity, term, *_ in near:
+        beside[entity, term].add(d)
+    found = defaultdict(set)
+    for d, entity, term, start, end in near:
+        n, de, dt = len(beside[entity, term]), len(entities[entity]), len(terms[term])
+        if n >= pii.SUPPORT and de < len(pairs):
+            disclosure = math.log2(n * len(pairs) / (dt * de)) / math.log2(len(pairs) / de)
+            if disclosure >= pii.GENERALISE:
+                found[d].add((start, end, "remove" if disclosure >= pii.REMOVE else "generalise"))
+    return sorted(repr((i, sorted(found[d]))) for d, (i, _) in enumerate(pairs))
+
+
+def test_disclosing_terms_equal_brute_force(frame, docs):
+    rng = random.Random(9)
+    names, filler = [f"person{c}" for c in "abcdefgh"], [f"word{c}{e}" for c in "abcdefghij" for e in "xyz"]
+    pairs = list(docs)
+    for i in range(160):
+        words = rng.choices(filler, k=rng.randint(1, 30))
+        who = rng.randrange(8)
+        if rng.random() < 0.7:
+            entity = [f"u{who}@mail.org", f"10.0.0.{who}", f"+4930 555 010{who}"][who % 3]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice([[entity, names[who]], [names[who], "wrote", entity]])
+        elif who % 2 and rng.random() < 0.6:
+            words.append(names[who])
+        pairs.append((10**6 + i, " ".join(words)))
+    out = [(r["id"], sorted((t["start"], t["end"], t["action"]) for t in r["terms"])) for r in pii.find(frame(pairs)).collect()]
+    want = slow_terms(pairs)
+    assert sorted(map(repr, out)) == want and all(sum(what in w for w in want) > 5 for what in ("remove", "generalise"))
+
+
 def test_sanitised_odd_texts(frame):
     out = pii.sanitise(frame(ODD)).collect()
     assert sorted(repr((r["row"]["doc_id"], r["text"])) for r in out) == sorted(map(repr, ODD))
