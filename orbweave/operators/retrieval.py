@@ -63,10 +63,21 @@ def merge_weighted_strict(ordered: DataFrame, key: str = "vec_id", value: str =
     return rows.select(key, F.round(F.aggregate(rest, first, lambda acc, x: (acc + x) / 2), 6).alias(value))
 
 
-def context_window(messages: DataFrame, budget: int) -> DataFrame:
-    """The newest messages of each conversation that fit the budget, at least one (D22)."""
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+def context_window(messages: DataFrame, budget: int, span: int = 256) -> DataFrame:
+    """The newest messages of each conversation that fit the budget, at least one (D22).
+
+    Tokens are summed per ``span`` turns first, and spans that newer ones already exhaust are
+    left out, so one conversation with a large part of all rows is not ordered in one task.
+    """
     d = messages.withColumn("tokens", T.token_estimate(F.col("text")))
+    # Rows without a turn rank last.
+    d = d.withColumn("_span", F.coalesce(F.floor(F.col("turn") / span), F.lit(-(2**62))))
+    sums = d.groupBy("conv_id", "_span").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    newer = Window.partitionBy("conv_id").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = sums.select("conv_id", "_span", F.coalesce(F.sum("t").over(newer), F.lit(0)).alias("newer"), F.coalesce(F.sum("n").over(newer), F.lit(0)).alias("ahead"))
+    open_ = open_.filter((F.col("newer") <= budget) | (F.col("ahead") == 0)).select(F.col("conv_id").alias("_conv"), F.col("_span").alias("_open"))
+    d = d.join(open_, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_span") == F.col("_open")), "left_semi")
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     d = d.withColumn("used", F.sum("tokens").over(newest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("back", F.row_number().over(newest))
     return d.filter((F.col("used") <= budget) | (F.col("back") == 1)).select("conv_id", "turn", "role", "text", "tokens")
 

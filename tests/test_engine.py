@@ -166,6 +166,30 @@ def test_strict_merge_and_summary(spark):
     assert [r["turn"] for r in retrieval.context_window(m, 1).collect()] == [5]
 
 
+def test_context_of_a_long_conversation(spark):
+    rows = [(1, t, "user", "x" * (t % 90)) for t in range(3000)] + [(2, None, "user", "only"), (None, 5, "user", "y" * 5000), (3, 1000, "user", "a"), (3, 2, "user", "b"), (3, None, "user", "c")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = set()
+    for conv in {r[0] for r in rows}:
+        used = 0
+        for i, r in enumerate(sorted((r for r in rows if r[0] == conv), key=lambda r: -1 if r[1] is None else r[1], reverse=True)):
+            used += len(r[3]) // 4 + 1
+            if used <= 3000 or not i:
+                want.add(r[:2])
+    for span in (1, 7, 256):
+        assert {tuple(r)[:2] for r in retrieval.context_window(d, 3000, span).collect()} == want
+    assert retrieval.context_window(d.limit(0), 9).count() == 0
+
+
+def test_random_projections_find_the_nearest(spark, sf):
+    d = spark.read.parquet(f"{sf}/embeddings.parquet").cache()
+    hits = 0
+    for (query,) in d.filter("vec_id % 100 = 0").select("embedding").collect():
+        near, exact = ({r["vec_id"] for r in f(d, query, 10).collect()} for f in (vector.knn_lsh, vector.knn))
+        hits += len(near & exact)
+    assert hits >= 0.9 * 10 * d.filter("vec_id % 100 = 0").count()
+
+
 def test_log(spark, tmp_path):
     path = str(tmp_path / "wal")
     rows = spark.createDataFrame([("insert", "kv", "a", "1", 1), ("update", "kv", "a", "2", 2), ("insert", "kv", "b", "3", 3), ("delete", "kv", "b", None, 4)], "op string, layer string, entity_key string, payload string, seq long")
