@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, media, near_dup, packing, pii, quality, substring, token_count, url_filter
+from . import bpe, language_id, media, near_dup, packing, passages, pii, quality, substring, token_count, url_filter
 
 
 def _pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op6_token_counts": token_count.op6_token_counts,
         "op7_packing": packing.op7_packing,
         "op8_substring": substring.op8_substring,
+        "op8_passages": passages.op8_passages,
         "op9_bpe": bpe.op9_bpe,
         "op10_url_filter": url_filter.op10_url_filter,
     }

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbweave.llm import bpe, common, language_id, media, near_dup, packing, pii, quality, substring, token_count, url_filter, word_pieces
+from orbweave.llm import bpe, common, language_id, media, near_dup, packing, passages, pii, quality, substring, token_count, url_filter, word_pieces
 from orbweave.llm.graph_links import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -473,6 +473,63 @@ def test_repeated_rows_are_one_document(frame):
     assert [r["text"] for r in substring.remove_repeats(frame([(1, "a b\n\na b")]), unit="paragraph", min_words=1).collect()] == ["a b"]
 
 
+# Repeated passages
+
+
+def slow_passages(pairs, window, min_words):
+    """(id, text that stays as words) by loops over all windows and lines."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    seen, lines, out = {}, set(), []
+    for d, (i, t) in enumerate(sorted(pairs, key=lambda p: (p[0] is None, p[0]))):
+        words = WORDS.findall((t or "").translate(low))
+        gone = set()
+        for a in range(len(words) - window + 1):
+            e, b = seen.setdefault(tuple(words[a : a + window]), (d, a))
+            if (e, b) != (d, a):
+                gone |= set(range(max(a, b + window) if e == d else a, a + window))
+        a = 0
+        for line in (t or "").translate(low).split("\n"):
+            line = tuple(WORDS.findall(line))
+            if len(line) >= min_words:
+                gone |= set(range(a, a + len(line))) if line in lines else set()
+                lines.add(line)
+            a += len(line)
+        out.append((i, [w for k, w in enumerate(WORDS.findall(t or "")) if k not in gone]))
+    return sorted(map(repr, out))
+
+
+def test_passages_equal_brute_force(frame, docs):
+    rng = random.Random(5)
+    some = [f"Wörd{i}" for i in range(400)]
+    runs = [rng.choices(some, k=rng.randint(6, 30)) for _ in range(12)]
+    pairs = list(docs) + [(10**5, "x " * 90), (10**5 + 1, "a b c " * 40 + "end"), (10**5 + 2, None), (10**5 + 3, ""), (None, "x " * 70 + "\n y")]
+    for i in range(150):
+        words = rng.choices(some, k=rng.randint(0, 40))
+        for run in rng.sample(runs, rng.randint(0, 3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = run
+        pairs.append((10**6 + i, "".join(w + rng.choice([" ", "  ", "\n", " \n", "\t"]) for w in words)))
+    pairs.append((10**7, pairs[-1][1]))
+    for window, gram in ((12, 6), (passages.WINDOW, passages.GRAM)):
+        out = passages.remove_passages(frame(pairs), window=window, gram=gram).collect()
+        assert sorted(repr((r["row"]["doc_id"], WORDS.findall(r["text"] or ""))) for r in out) == slow_passages(pairs, window, substring.MIN_WORDS)
+        texts = dict(pairs)
+        for r in out:
+            t = texts[r["row"]["doc_id"]]
+            assert (t is None) == (r["text"] is None)
+            left = "" if t is None else " ".join(t[a:b] for a, b in zip([0] + [s["end"] for s in r["removed"]], [s["start"] for s in r["removed"]] + [len(t)]))
+            assert WORDS.findall(left) == WORDS.findall(r["text"] or "")
+
+
+def test_a_passage_inside_other_lines_goes(frame):
+    passage = " ".join(f"shared{i}" for i in range(52))
+    one, two = f"alpha beta {passage} gamma\nend of one", f"delta\nother words {passage} epsilon zeta\nend of two"
+    out = {r["row"]["doc_id"]: r for r in passages.remove_passages(frame([(1, one), (2, two)])).collect()}
+    assert out[1]["text"] == one and out[2]["text"] == "delta\nother words epsilon zeta\nend of two"
+    assert [two[s["start"] : s["end"]] for s in out[2]["removed"]] == [passage]
+    assert passages.remove_passages(frame([(1, one)]).limit(0)).count() == 0
+
+
 # URLs
 
 
