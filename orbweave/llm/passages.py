@@ -3,7 +3,7 @@
 A text is its words (runs of anything but white space, A-Z in lower case), so a passage is
 found in the middle of lines and across them.  A window of WINDOW words is repeated if the
 same words stand earlier, by (doc_id, row key, position); all words of repeated windows go.
-So do whole lines of ``min_words`` words or more that stand earlier as whole lines.  A
+So do whole lines of ``LINE_WORDS`` words or more that stand earlier as whole lines.  A
 window that overlaps its own earliest occurrence loses only the words behind that, so
 every word that goes still stands in an earlier text or place.
 
@@ -23,18 +23,19 @@ share one result; null ids rank last.  Other columns travel in the struct ``row`
 from __future__ import annotations
 
 import functools
+import time
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, release, row_key, slices, table, utf8_buffers
-from .substring import MIN_WORDS
 
 WINDOW = 50
 GRAM = 25
+LINE_WORDS = 5
 #: Bytes of text whose words are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 LANES = [(0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)]
 
 
@@ -59,7 +60,7 @@ def _bytes(lane: int) -> np.ndarray:
     return np.where(_spaces(), np.uint64(0), _mix((low + np.uint64(1)) * np.uint64(LANES[lane][0])))
 
 
-@functools.lru_cache(maxsize=8)
+@functools.lru_cache(maxsize=4)
 def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64."""
     out = []
@@ -71,7 +72,7 @@ def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _power_table(base, max(1 << 21, 1 << int(n).bit_length()))
+    return _power_table(base, max(2 * SLICE, 1 << int(n).bit_length()))
 
 
 class Words:
@@ -212,13 +213,20 @@ def _line_rows(least: int):
 UNIT = "high long, low long, id long, key binary, at int, n int"
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` cut, and what it took on disk gone: a second collection frees what the first uncovered."""
+    df = cut(df)
+    for _ in range(2):
+        release(df.sparkSession)
+        time.sleep(1)
+    return df
+
+
 def _later(units: DataFrame) -> DataFrame:
     """key and word range of the units that stand earlier too."""
     units = units.withColumn("nameless", F.col("id").isNull())
     first = units.groupBy("high", "low").agg(F.count("*").alias("times"), F.min(F.struct("nameless", "id", "key", "at")).alias("kept")).filter("times > 1")
-    # Stored, so that the join below deals both sides anew: Spark splits the hot tasks of such a join only.
-    first = cut(first.select("high", "low", F.col("kept.key").alias("kept_key"), F.col("kept.at").alias("kept_at")))
-    release(first.sparkSession)
+    first = first.select("high", "low", F.col("kept.key").alias("kept_key"), F.col("kept.at").alias("kept_at"))
     gone = units.select("high", "low", "key", "at", "n").join(first, ["high", "low"]).filter("key <> kept_key or at <> kept_at")
     start = F.when(F.col("key") == F.col("kept_key"), F.greatest(F.col("at"), F.col("kept_at") + F.col("n"))).otherwise(F.col("at"))
     return gone.select("key", start.alias("start"), (F.col("at") + F.col("n")).alias("end"))
@@ -253,7 +261,7 @@ def _rebuild(text: str, gone: list[tuple[int, int]], words) -> tuple[list[dict],
     return removed, "".join(kept) + text[at:]
 
 
-def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, min_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (the input's columns), n_removed, removed (offsets) and text of each row."""
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("source"))
     d = d.withColumn("key", F.unhex(row_key(F.col("id"), F.col("source"))))
@@ -265,14 +273,11 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, min
     wanted = seen.select("anchor", "tag").join(again.select("anchor"), "anchor").groupBy("tag").agg(F.collect_set("anchor").alias("anchors"))
     named = tagged.select(F.unhex(F.md5("source")).alias("digest"), "tag", F.col("id").isNull().alias("nameless"), "id", "key")
     firsts = named.groupBy("digest", "tag").agg(F.min(F.struct("nameless", "id", "key")).alias("kept"), F.count("*").alias("times"))
-    wanted = cut(firsts.select("tag", F.col("kept.key").alias("key")).join(wanted, "tag").select("key", "anchors"))
-    release(docs.sparkSession)
+    wanted = _stored(firsts.select("tag", F.col("kept.key").alias("key")).join(wanted, "tag").select("key", "anchors"))
 
     near = texts.select("id", "key", "source").join(wanted, "key").select("id", "key", "source", "anchors")
-    gone = cut(_ranges(_later(near.mapInArrow(_window_rows(window, gram), UNIT))))
-    release(docs.sparkSession)
-    lines = cut(_ranges(_later(texts.select("id", "key", "source").mapInArrow(_line_rows(min_words), UNIT))))
-    release(docs.sparkSession)
+    gone = _stored(_ranges(_later(near.mapInArrow(_window_rows(window, gram), UNIT))))
+    lines = _stored(_ranges(_later(texts.select("id", "key", "source").mapInArrow(_line_rows(min_words), UNIT))))
 
     copies = named.join(firsts.filter("times > 1").select("digest", "kept"), "digest").filter("key <> kept.key").select("key").distinct()
     whole = copies.select("key", F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))).alias("gone"))

@@ -512,7 +512,7 @@ def test_passages_equal_brute_force(frame, docs):
     pairs.append((10**7, pairs[-1][1]))
     for window, gram in ((12, 6), (passages.WINDOW, passages.GRAM)):
         out = passages.remove_passages(frame(pairs), window=window, gram=gram).collect()
-        assert sorted(repr((r["row"]["doc_id"], WORDS.findall(r["text"] or ""))) for r in out) == slow_passages(pairs, window, substring.MIN_WORDS)
+        assert sorted(repr((r["row"]["doc_id"], WORDS.findall(r["text"] or ""))) for r in out) == slow_passages(pairs, window, passages.LINE_WORDS)
         texts = dict(pairs)
         for r in out:
             t = texts[r["row"]["doc_id"]]
@@ -530,6 +530,13 @@ def test_a_passage_inside_other_lines_goes(frame):
     assert passages.remove_passages(frame([(1, one)]).limit(0)).count() == 0
 
 
+def test_short_lines_that_repeat_go(frame):
+    licence = "This work is licensed under the GNU General Public License, version 3."
+    pairs = [(i, f"own text {i}\n{licence}\ntop of page\nlast {i}") for i in range(4)]
+    out = {r["row"]["doc_id"]: r["text"] for r in passages.remove_passages(frame(pairs)).collect()}
+    assert out[0] == pairs[0][1] and all(out[i] == f"own text {i}\ntop of page\nlast {i}" for i in range(1, 4))
+
+
 # URLs
 
 
