@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbweave.llm import bpe, common, language_id, media, near_dup, packing, passages, pii, quality, substring, token_count, url_filter, word_pieces
+from orbweave.llm import bpe, common, language_id, media, near_dup, packing, pii, quality, substring, token_count, url_filter, word_pieces
 from orbweave.llm.graph_links import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -434,46 +434,7 @@ def test_windows_hold_the_target_mixture(spark):
         assert [abs(by[(w, "=a")] / (20 * 2048) - want) < 0.05 for w in range(5)] == [True] * 5, by
 
 
-# Repeated lines
-
-
-def slow_lines(pairs, min_words):
-    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    seen, out = set(), []
-    for i, t in sorted(pairs, key=lambda p: (p[0] is None, p[0])):
-        if t is None:
-            out.append((i, 0, [], None))
-            continue
-        start, kept, gone = 0, [], []
-        for line in t.split("\n"):
-            words = WORDS.findall(line.translate(table))
-            if len(words) >= min_words and tuple(words) in seen:
-                gone.append((start, start + len(line)))
-            else:
-                kept.append(line)
-            if len(words) >= min_words:
-                seen.add(tuple(words))
-            start += len(line) + 1
-        out.append((i, t.count("\n") + 1, gone, "\n".join(kept)))
-    return sorted(map(repr, out))
-
-
-def test_repeated_lines_equal_brute_force(frame, docs):
-    pairs = docs + [(10**6 + i, t) for i, t in ODD if i not in (None, 6)] + [(None, "x " * 30 + "\nend"), (10**7, "X   " * 30 + "\né\n" + "x " * 30)]
-    for n in (2, substring.MIN_WORDS):
-        out = substring.remove_repeats(frame(pairs), min_words=n).collect()
-        assert sorted(repr((r["row"]["doc_id"], r["n_units"], [(s["start"], s["end"]) for s in r["removed"]], r["text"])) for r in out) == slow_lines(pairs, n)
-
-
-def test_repeated_rows_are_one_document(frame):
-    text = "word " * 30
-    out = substring.remove_repeats(frame([(1, text), (1, text), (2, text)])).collect()
-    assert sorted((r["row"]["doc_id"], r["n_removed"]) for r in out) == [(1, 0), (1, 0), (2, 1)]
-    assert substring.remove_repeats(frame([(1, text)]).limit(0)).count() == 0
-    assert [r["text"] for r in substring.remove_repeats(frame([(1, "a b\n\na b")]), unit="paragraph", min_words=1).collect()] == ["a b"]
-
-
-# Repeated passages
+# Repeated lines and passages
 
 
 def slow_passages(pairs, window, min_words):
@@ -510,9 +471,9 @@ def test_passages_equal_brute_force(frame, docs):
             words[at:at] = run
         pairs.append((10**6 + i, "".join(w + rng.choice([" ", "  ", "\n", " \n", "\t"]) for w in words)))
     pairs.append((10**7, pairs[-1][1]))
-    for window, gram in ((12, 6), (passages.WINDOW, passages.GRAM)):
-        out = passages.remove_passages(frame(pairs), window=window, gram=gram).collect()
-        assert sorted(repr((r["row"]["doc_id"], WORDS.findall(r["text"] or ""))) for r in out) == slow_passages(pairs, window, passages.LINE_WORDS)
+    for window, gram in ((12, 6), (substring.WINDOW, substring.GRAM)):
+        out = substring.remove_repeats(frame(pairs), window=window, gram=gram).collect()
+        assert sorted(repr((r["row"]["doc_id"], WORDS.findall(r["text"] or ""))) for r in out) == slow_passages(pairs, window, substring.LINE_WORDS)
         texts = dict(pairs)
         for r in out:
             t = texts[r["row"]["doc_id"]]
@@ -524,16 +485,25 @@ def test_passages_equal_brute_force(frame, docs):
 def test_a_passage_inside_other_lines_goes(frame):
     passage = " ".join(f"shared{i}" for i in range(52))
     one, two = f"alpha beta {passage} gamma\nend of one", f"delta\nother words {passage} epsilon zeta\nend of two"
-    out = {r["row"]["doc_id"]: r for r in passages.remove_passages(frame([(1, one), (2, two)])).collect()}
+    out = {r["row"]["doc_id"]: r for r in substring.remove_repeats(frame([(1, one), (2, two)])).collect()}
     assert out[1]["text"] == one and out[2]["text"] == "delta\nother words epsilon zeta\nend of two"
     assert [two[s["start"] : s["end"]] for s in out[2]["removed"]] == [passage]
-    assert passages.remove_passages(frame([(1, one)]).limit(0)).count() == 0
+    assert substring.remove_repeats(frame([(1, one)]).limit(0)).count() == 0
+    same = substring.remove_repeats(frame([(1, one), (1, one)])).collect()
+    assert [r["text"] for r in same] == [one, one]
+
+
+def test_paragraphs_are_longer_units_than_lines(frame):
+    pairs = [(1, "a b c d e\nf g h i j\n\nx y"), (2, "a b c d e\nother words\n\nx y"), (3, "f\n\na b c d e\nf g h i j")]
+    for unit, want in (("line", ["a b c d e\nf g h i j\n\nx y", "other words\n\nx y", "f"]), ("paragraph", [pairs[0][1], pairs[1][1], "f"])):
+        out = {r["row"]["doc_id"]: r["text"] for r in substring.remove_repeats(frame(pairs), unit=unit).collect()}
+        assert [out[i] for i in (1, 2, 3)] == want, unit
 
 
 def test_short_lines_that_repeat_go(frame):
     licence = "This work is licensed under the GNU General Public License, version 3."
     pairs = [(i, f"own text {i}\n{licence}\ntop of page\nlast {i}") for i in range(4)]
-    out = {r["row"]["doc_id"]: r["text"] for r in passages.remove_passages(frame(pairs)).collect()}
+    out = {r["row"]["doc_id"]: r["text"] for r in substring.remove_repeats(frame(pairs)).collect()}
     assert out[0] == pairs[0][1] and all(out[i] == f"own text {i}\ntop of page\nlast {i}" for i in range(1, 4))
 
 
