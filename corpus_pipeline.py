@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import near_dup, packing, passages, pii, quality
+from orbweave.llm import near_dup, packing, pii, quality, substring
 from orbweave.llm.common import prepare, row_key, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages and lines that an earlier document has."""
+    """Documents without the lines and passages that an earlier document has."""
     prepare(spark)
-    return _put_back(passages.remove_passages(docs), docs.columns)
+    return _put_back(substring.remove_repeats(docs), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
