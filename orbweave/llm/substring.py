@@ -226,9 +226,9 @@ def _later(units: DataFrame) -> DataFrame:
     """key and word range of the units that stand earlier too."""
     units = units.withColumn("nameless", F.col("id").isNull())
     first = units.groupBy("high", "low").agg(F.count("*").alias("times"), F.min(F.struct("nameless", "id", "key", "at")).alias("kept")).filter("times > 1")
-    # Stored, so that the join reads two plain shuffles and can split the places of a hot unit.
-    first = cut(first.select("high", "low", F.col("kept.key").alias("kept_key"), F.col("kept.at").alias("kept_at")))
-    gone = units.select("high", "low", "key", "at", "n").join(first, ["high", "low"]).filter("key <> kept_key or at <> kept_at")
+    # Joined on another form of the digest, so that both sides are shuffled for the join and Spark can split a hot unit's places.
+    first = first.select(F.struct("high", "low").alias("unit"), F.col("kept.key").alias("kept_key"), F.col("kept.at").alias("kept_at"))
+    gone = units.select(F.struct("high", "low").alias("unit"), "key", "at", "n").join(first, "unit").filter("key <> kept_key or at <> kept_at")
     start = F.when(F.col("key") == F.col("kept_key"), F.greatest(F.col("at"), F.col("kept_at") + F.col("n"))).otherwise(F.col("at"))
     return gone.select("key", start.alias("start"), (F.col("at") + F.col("n")).alias("end"))
 
