@@ -1,21 +1,31 @@
 """Personal data: patterns, then information-theoretic sanitisation of what reveals them.
 
-Emails, addresses, card and phone numbers are found by linear-time patterns and become the
-protected entities.  For every term near an entity the whole corpus tells how strongly it
-reveals that entity: with document frequencies over all N documents,
+Emails, addresses, card and phone numbers are found by linear-time patterns, keys (long
+runs of letters and digits) beside them; all of them are protected entities.  Exact values
+seldom recur, so entities are protected at three levels: the value, its group (the mail
+domain, the first two numbers of an address, the issuer digits of a card, the first digits
+of a phone number) and its kind.  The whole corpus tells how strongly a term reveals an entity:
 
-    PMI(term; entity) = log2(n(term, entity) N / (df(term) df(entity)))
-    IC(entity)        = log2(N / df(entity))
+    PMI(term; entity) = log2(P(entity | term) / P(entity)),  IC(entity) = -log2 P(entity)
 
-and the disclosure PMI / IC is 1 when every document with the term has the entity beside it.
-Terms that reach ``GENERALISE`` with support in ``SUPPORT`` documents are spans of kind
-``term`` and generalised; from ``REMOVE`` on they are removed.  They are only touched next to
-the entity they reveal, so a document without personal data never changes.
+and the disclosure PMI / IC is 1 when every document with the term has the entity.
+
+* A value is revealed by terms beside it (within ``CONTEXT`` code points) that reach the
+  thresholds in ``SUPPORT`` documents or more; they are touched there only.
+* A group or kind is revealed by terms anywhere in a document.  People are counted, not
+  documents: documents whose first protected value is the same are one, so a thousand
+  copies of one letter prove nothing about its words.  ``SMOOTHING`` people without the
+  term's habit are added to each estimate in place of a support limit.  Such a term is
+  touched wherever it stands outside of an entity.
+
+Terms from a disclosure of ``GENERALISE`` on are spans of kind ``term`` and generalised,
+from ``REMOVE`` on they are removed.
 
 Everything is a built-in expression: matches come from regexp_extract_all, their offsets
 from the lengths of the pieces that split leaves between them, summed in two levels.
 Frequencies are aggregated before each shuffle; no join multiplies rows of one key by
-another's.
+another's.  Only terms that documents with an entity hold often enough are counted in the
+rest of the corpus.
 
 Null texts are empty and have no spans (and stay null in ``sanitise``).  Rows equal in id
 and text share one result.  Null ids are allowed; ``sanitise`` carries all other columns of
@@ -32,6 +42,8 @@ from .common import cut, let, prepare, row_key, table
 #: The kinds in order.  The guards keep the leftmost matches of the plain
 #: patterns and make a search linear in the text.
 KINDS = ["email", "ip", "card", "phone"]
+#: A protected kind beside the base kinds, and what it looks like.
+KEY, KEY_PATTERN = "key", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -40,7 +52,7 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to be worth a search.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "generalise": "<TERM>", "remove": ""}
+PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "key": "<KEY>", "generalise": "<TERM>", "remove": ""}
 
 #: Code points on either side of an entity, and the shortest term.
 CONTEXT = 64
@@ -49,6 +61,9 @@ TERM_LENGTH = 3
 SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.99
+SMOOTHING = 2.0
+#: Characters of revealing terms and candidates that may be broadcast; beyond that they are joined by shuffles.
+BROADCAST_CHARACTERS = 4 << 20
 
 SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -122,11 +137,39 @@ def _base(text: Column) -> Column:
     return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
 
 
+def _keys(text: Column, base: Column) -> Column:
+    """Spans of keys: letters and digits mixed, outside of the base spans."""
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    found = F.filter(_located(text, KEY_PATTERN), lambda x: mixed(x["value"]) & free(x))
+    found = F.transform(found, lambda x: F.struct(F.lit(len(KINDS)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    return F.when(text.rlike(r"[A-Za-z0-9]{20}"), found).otherwise(F.array().cast(SPANS))
+
+
 def _entity(span: Column) -> Column:
     value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"]))
     return F.concat_ws(":", span["kind"], value)
 
 
+def _classes(base: Column) -> Column:
+    """The kinds and groups of the spans."""
+    names = F.array(*map(F.lit, [*KINDS, KEY]))
+
+    def group(x: Column) -> Column:
+        v = x["value"]
+        sizes = F.when(x["kind"] == 2, F.substring(_digits(v), 1, 4)).when(x["kind"] == 3, F.substring(_digits(v), 1, 4))
+        return F.when(x["kind"] == 0, F.lower(F.substring_index(v, "@", -1))).when(x["kind"] == 1, F.substring_index(v, ".", 2)).otherwise(sizes)
+
+    kinds = F.transform(base, lambda x: F.get(names, x["kind"]))
+    groups = F.transform(F.filter(base, lambda x: x["kind"] < len(KINDS)), lambda x: F.concat_ws(":", F.get(names, x["kind"]), group(x)))
+    return F.array_distinct(F.concat(kinds, groups))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= TERM_LENGTH))
+
+
 def _contexts(text: Column, base: Column) -> Column:
     """entity, term, start and end of the terms within CONTEXT of a base span."""
     size = F.length(text)
@@ -176,14 +219,75 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", suppor
     return scored.select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
+def _small(df: DataFrame, text: str) -> DataFrame:
+    """A stored table with a broadcast hint if its texts are few enough."""
+    size = df.agg(F.coalesce(F.sum(F.length(text) + 16), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_CHARACTERS else df
+
+
+def revealing(found: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING) -> DataFrame:
+    """class, term, n, df, disclosure and action of the terms that reveal a group or kind of entity.
+
+    ``found`` has base, terms, classes and person of each document, ``words`` one row (word)
+    for each distinct term of each document.
+    """
+    total = float(found.count())
+    held = found.filter(F.size("base") > 0).select("terms", "classes", "person")
+    classes = held.select(F.explode("classes").alias("class"), "person").groupBy("class", "person").agg(F.count("*").alias("d")).groupBy("class").agg(F.count("*").alias("people"), F.sum("d").alias("docs"))
+    classes = classes.select("class", (F.col("people") / (F.lit(total) - F.col("docs") + F.col("people"))).alias("p")).filter("p < 1")
+    pairs = held.select(F.explode("terms").alias("term"), "classes", "person").select("term", F.explode("classes").alias("class"), "person")
+    pairs = pairs.groupBy("class", "term", "person").agg(F.count("*").alias("d")).groupBy("class", "term").agg(F.count("*").alias("n"), F.sum("d").alias("n_docs"))
+
+    def disclosure(df) -> Column:
+        return F.log2((F.col("n") + smoothing * F.col("p")) / (df + smoothing) / F.col("p")) / -F.log2("p")
+
+    # No term is in fewer documents than people it was found beside, which bounds its disclosure.
+    candidates = cut(pairs.join(classes, "class").filter(disclosure(F.col("n")) >= generalise))
+    wanted = _small(candidates.select("term").distinct(), "term")
+    df = words.join(wanted, words["word"] == wanted["term"], "left_semi").groupBy(F.col("word").alias("term")).agg(F.count("*").alias("all"))
+    scored = candidates.join(df, "term").withColumn("df", F.col("n") + F.col("all") - F.col("n_docs"))
+    scored = scored.withColumn("disclosure", disclosure(F.col("df"))).filter(F.col("disclosure") >= generalise)
+    return scored.select("class", "term", "n", "df", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key, base spans (kind, start, end, value) and terms (start, end, action) of each row."""
+    """id, key, base spans (kind, start, end, value; keys last) and terms (start, end, action) of each row."""
     d = _keyed(docs, id_col, text_col).withColumn("source", F.coalesce("source", F.lit("")))
-    d = d.select("id", "key", "source", _base(F.col("source")).alias("base"))
-    found = cut(d.select("id", "key", "base", _contexts(F.col("source"), F.col("base")).alias("contexts")))
-    flagged = disclosing(found, docs, text_col)
-    near = found.filter(F.size("contexts") > 0).select("key", F.inline("contexts")).join(flagged, ["entity", "term"])
-    near = near.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+    spans = d.select("id", "key", "source", _base(F.col("source")).alias("base"))
+    spans = spans.select("id", "key", "source", F.concat("base", _keys(F.col("source"), F.col("base"))).alias("base"))
+    blanks = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(" ").alias("put"))))
+    none = F.array().cast("array<string>")
+    held = F.size("base") > 0
+    found = spans.select(
+        "id",
+        "key",
+        "base",
+        _contexts(F.col("source"), F.filter("base", lambda x: x["kind"] < len(KINDS))).alias("contexts"),
+        F.when(held, _terms(let(blanks, lambda b: _replaced(F.col("source"), b)))).otherwise(none).alias("terms"),
+        F.when(held, _classes(F.col("base"))).otherwise(none).alias("classes"),
+        F.array_min(F.transform("base", _entity)).alias("person"),
+    )
+    found = cut(found)
+    words = d.select("key", F.explode(_terms(F.col("source"))).alias("word"))
+
+    beside = disclosing(found, docs, text_col)
+    near = found.filter(F.size("contexts") > 0).select("key", F.inline("contexts")).join(beside, ["entity", "term"]).select("key", "start", "end", "action")
+
+    anywhere = cut(revealing(found, words).groupBy("term").agg(F.max("action").alias("action")))
+    if not anywhere.isEmpty():
+        told = _small(anywhere, "term")
+        hits = words.join(told, words["word"] == told["term"]).groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
+        # Stored, so that Spark knows how small they are and need not shuffle every text.
+        hits = cut(hits).join(found.select("key", "base").dropDuplicates(["key"]), "key")
+        at = d.select("key", "source").join(hits, "key").dropDuplicates(["key"])
+        actions = F.map_from_entries("told")
+        places = F.transform(_located(F.col("source"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), actions[F.lower(t["value"])].alias("action")))
+        free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        near = near.union(at.select("key", F.inline(F.filter(places, lambda x: x["action"].isNotNull() & free(x)))))
+
+    # A term that both ways name takes the stronger action.
+    near = near.groupBy("key", "start", "end").agg(F.max("action").alias("action"))
+    near = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
     return found.select("id", "key", "base").join(near, "key", "left").withColumn("terms", F.coalesce("terms", none))
 
@@ -194,16 +298,19 @@ def _listed(spans: Column, kind) -> Column:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    names = F.array(*map(F.lit, KINDS))
-    base = _listed(F.col("base"), lambda x: F.get(names, x["kind"]))
+    names = F.array(*map(F.lit, [*KINDS, KEY]))
+    listed = lambda spans: _listed(spans, lambda x: F.get(names, x["kind"]))
+    base = listed(F.filter("base", lambda x: x["kind"] < len(KINDS)))
     terms = _listed(F.array_distinct(F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))), lambda x: F.lit("term"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return find(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"),
         *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, terms), ",").alias("spans"),
+        F.array_join(F.concat(listed(F.col("base")), terms), ",").alias("spans"),
+        count(len(KINDS)).alias("n_key"),
         F.size("terms").cast("long").alias("n_term"),
+        (F.size("base") + F.size("terms")).cast("long").alias("n_spans"),
     )
 
 
@@ -222,7 +329,7 @@ def _replaced(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (the input's columns), base, terms and the sanitised text of each row."""
     found = find(docs, id_col, text_col).filter((F.size("base") > 0) | (F.size("terms") > 0)).select("key", "base", "terms").dropDuplicates(["key"])
-    put = F.array(*[F.lit(PLACEHOLDERS[k]) for k in KINDS])
+    put = F.array(*[F.lit(PLACEHOLDERS[k]) for k in [*KINDS, KEY]])
     spans = F.concat(
         F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.get(put, x["kind"]).alias("put"))),
         F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "remove", PLACEHOLDERS["remove"]).otherwise(PLACEHOLDERS["generalise"]).alias("put"))),
