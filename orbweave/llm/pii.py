@@ -12,11 +12,12 @@ and the disclosure PMI / IC is 1 when every document with the term has the entit
 
 * A value is revealed by terms beside it (within ``CONTEXT`` code points) that reach the
   thresholds in ``SUPPORT`` documents or more; they are touched there only.
-* A group or kind is revealed by terms anywhere in a document.  People are counted, not
-  documents: documents whose first protected value is the same are one, so a thousand
-  copies of one letter prove nothing about its words.  ``SMOOTHING`` people without the
-  term's habit are added to each estimate in place of a support limit.  Such a term is
-  touched wherever it stands outside of an entity.
+* A group is revealed by terms beside its values, a kind by terms anywhere in the
+  document.  People are counted, not documents: documents whose first protected value is
+  the same are one, so a thousand copies of one letter prove nothing about its words.
+  ``SMOOTHING`` people without the term's habit are added to each estimate in place of a
+  support limit.  Terms that reveal a group are touched beside it, those that reveal a
+  kind wherever they stand outside of an entity.
 
 Terms from a disclosure of ``GENERALISE`` on are spans of kind ``term`` and generalised,
 from ``REMOVE`` on they are removed.
@@ -151,18 +152,16 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def _classes(base: Column) -> Column:
-    """The kinds and groups of the spans."""
-    names = F.array(*map(F.lit, [*KINDS, KEY]))
+def _group(span: Column) -> Column:
+    """The group of a base span, which recurs where its value does not."""
+    names, v = F.array(*map(F.lit, KINDS)), span["value"]
+    mail, net, first = F.lower(F.substring_index(v, "@", -1)), F.substring_index(v, ".", 2), F.substring(_digits(v), 1, 4)
+    return F.concat_ws(":", F.get(names, span["kind"]), F.when(span["kind"] == 0, mail).when(span["kind"] == 1, net).otherwise(first))
 
-    def group(x: Column) -> Column:
-        v = x["value"]
-        sizes = F.when(x["kind"] == 2, F.substring(_digits(v), 1, 4)).when(x["kind"] == 3, F.substring(_digits(v), 1, 4))
-        return F.when(x["kind"] == 0, F.lower(F.substring_index(v, "@", -1))).when(x["kind"] == 1, F.substring_index(v, ".", 2)).otherwise(sizes)
 
-    kinds = F.transform(base, lambda x: F.get(names, x["kind"]))
-    groups = F.transform(F.filter(base, lambda x: x["kind"] < len(KINDS)), lambda x: F.concat_ws(":", F.get(names, x["kind"]), group(x)))
-    return F.array_distinct(F.concat(kinds, groups))
+def _kinds(base: Column) -> Column:
+    names = F.array(*map(F.lit, [*KINDS, KEY]))
+    return F.array_distinct(F.transform(base, lambda x: F.get(names, x["kind"])))
 
 
 def _terms(text: Column) -> Column:
@@ -171,7 +170,7 @@ def _terms(text: Column) -> Column:
 
 
 def _contexts(text: Column, base: Column) -> Column:
-    """entity, term, start and end of the terms within CONTEXT of a base span."""
+    """entity, group, term, start and end of the terms within CONTEXT of a base span."""
     size = F.length(text)
 
     def around(spans: Column) -> Column:
@@ -186,7 +185,7 @@ def _contexts(text: Column, base: Column) -> Column:
                 whole = lambda t: (F.length(t["value"]) >= TERM_LENGTH) & (whole_left | (t["start"] > 0)) & (whole_right | (t["end"] < b - a))
                 return F.transform(
                     F.filter(_located(part, TERM), whole),
-                    lambda t: F.struct(_entity(x).alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + a).alias("start"), (t["end"] + a).alias("end")),
+                    lambda t: F.struct(_entity(x).alias("entity"), _group(x).alias("group"), F.lower(t["value"]).alias("term"), (t["start"] + a).alias("start"), (t["end"] + a).alias("end")),
                 )
 
             # A word that touches the far edge of a context may be cut and is left out.
@@ -195,7 +194,7 @@ def _contexts(text: Column, base: Column) -> Column:
         return F.flatten(F.transform(spans, one))
 
     ordered = F.array_sort(F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"))))
-    none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<entity:string,group:string,term:string,start:int,end:int>>")
     return F.when(F.size(base) == 0, none).otherwise(let(ordered, around))
 
 
@@ -204,13 +203,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return d.withColumn("key", F.unhex(row_key(F.col("id"), F.col("source"))))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term and action of the terms that disclose an entity beyond the thresholds."""
+def disclosing(found: DataFrame, words: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """entity, term and action of the terms that disclose a value beyond the thresholds."""
     pairs = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    pairs = cut(pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
     entities = found.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(F.filter(words, lambda w: F.length(w) >= TERM_LENGTH)).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    wanted = _small(pairs.select("term").distinct(), "term")
+    terms = words.join(wanted, words["word"] == wanted["term"], "left_semi").groupBy(F.col("word").alias("term")).agg(F.count("*").alias("df_term"))
     total = found.agg(F.count("*").cast("double")).first()[0]
     scored = pairs.join(entities, "entity").join(terms, "term")
     pmi = F.log2(F.col("n") * F.lit(total) / (F.col("df_term") * F.col("df_entity")))
@@ -225,18 +224,38 @@ def _small(df: DataFrame, text: str) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_CHARACTERS else df
 
 
+def described(docs: DataFrame) -> DataFrame:
+    """id, key, and what (id, key, source) rows hold: entities, the terms beside them, the terms outside of them, their groups and kinds, and one value that stands for the person."""
+    spans = docs.select("id", "key", "source", _base(F.col("source")).alias("base"))
+    spans = spans.select("id", "key", "source", F.concat("base", _keys(F.col("source"), F.col("base"))).alias("base"))
+    blanks = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(" ").alias("put"))))
+    none, held = F.array().cast("array<string>"), F.size("base") > 0
+    plain = F.filter("base", lambda x: x["kind"] < len(KINDS))
+    return spans.select(
+        "id",
+        "key",
+        "base",
+        _contexts(F.col("source"), plain).alias("contexts"),
+        F.when(held, _terms(let(blanks, lambda b: _replaced(F.col("source"), b)))).otherwise(none).alias("terms"),
+        F.array_distinct(F.transform(plain, _group)).alias("groups"),
+        _kinds(F.col("base")).alias("kinds"),
+        F.xxhash64(F.array_min(F.transform("base", _entity))).alias("person"),
+    )
+
+
 def revealing(found: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING) -> DataFrame:
-    """class, term, n, df, disclosure and action of the terms that reveal a group or kind of entity.
+    """class, term, n, df, disclosure and action of the terms that reveal a kind (by standing in the document) or a group (by standing beside it).
 
-    ``found`` has base, terms, classes and person of each document, ``words`` one row (word)
-    for each distinct term of each document.
+    ``found`` is ``described()``, ``words`` has one row (word) for each distinct term of each document.
     """
     total = float(found.count())
-    held = found.filter(F.size("base") > 0).select("terms", "classes", "person")
-    classes = held.select(F.explode("classes").alias("class"), "person").groupBy("class", "person").agg(F.count("*").alias("d")).groupBy("class").agg(F.count("*").alias("people"), F.sum("d").alias("docs"))
+    held = found.filter(F.size("base") > 0)
+    classes = held.select(F.explode(F.concat("kinds", "groups")).alias("class"), "person").groupBy("class", "person").agg(F.count("*").alias("d")).groupBy("class").agg(F.count("*").alias("people"), F.sum("d").alias("docs"))
     classes = classes.select("class", (F.col("people") / (F.lit(total) - F.col("docs") + F.col("people"))).alias("p")).filter("p < 1")
-    pairs = held.select(F.explode("terms").alias("term"), "classes", "person").select("term", F.explode("classes").alias("class"), "person")
-    pairs = pairs.groupBy("class", "term", "person").agg(F.count("*").alias("d")).groupBy("class", "term").agg(F.count("*").alias("n"), F.sum("d").alias("n_docs"))
+    by_kind = held.select(F.explode("terms").alias("term"), "kinds", "person").select(F.explode("kinds").alias("class"), "term", "person")
+    beside = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["group"].alias("class"), c["term"].alias("term"))))
+    by_group = held.select(F.inline(beside), "person")
+    pairs = by_kind.union(by_group).groupBy("class", "term", "person").agg(F.count("*").alias("d")).groupBy("class", "term").agg(F.count("*").alias("n"), F.sum("d").alias("n_docs"))
 
     def disclosure(df) -> Column:
         return F.log2((F.col("n") + smoothing * F.col("p")) / (df + smoothing) / F.col("p")) / -F.log2("p")
@@ -253,43 +272,38 @@ def revealing(found: DataFrame, words: DataFrame, generalise: float = GENERALISE
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key, base spans (kind, start, end, value; keys last) and terms (start, end, action) of each row."""
     d = _keyed(docs, id_col, text_col).withColumn("source", F.coalesce("source", F.lit("")))
-    spans = d.select("id", "key", "source", _base(F.col("source")).alias("base"))
-    spans = spans.select("id", "key", "source", F.concat("base", _keys(F.col("source"), F.col("base"))).alias("base"))
-    blanks = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(" ").alias("put"))))
-    none = F.array().cast("array<string>")
-    held = F.size("base") > 0
-    found = spans.select(
-        "id",
-        "key",
-        "base",
-        _contexts(F.col("source"), F.filter("base", lambda x: x["kind"] < len(KINDS))).alias("contexts"),
-        F.when(held, _terms(let(blanks, lambda b: _replaced(F.col("source"), b)))).otherwise(none).alias("terms"),
-        F.when(held, _classes(F.col("base"))).otherwise(none).alias("classes"),
-        F.array_min(F.transform("base", _entity)).alias("person"),
-    )
-    found = cut(found)
+    found = cut(described(d))
     words = d.select("key", F.explode(_terms(F.col("source"))).alias("word"))
 
-    beside = disclosing(found, docs, text_col)
-    near = found.filter(F.size("contexts") > 0).select("key", F.inline("contexts")).join(beside, ["entity", "term"]).select("key", "start", "end", "action")
-
-    anywhere = cut(revealing(found, words).groupBy("term").agg(F.max("action").alias("action")))
-    if not anywhere.isEmpty():
-        told = _small(anywhere, "term")
-        hits = words.join(told, words["word"] == told["term"]).groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
-        # Stored, so that Spark knows how small they are and need not shuffle every text.
-        hits = cut(hits).join(found.select("key", "base").dropDuplicates(["key"]), "key")
-        at = d.select("key", "source").join(hits, "key").dropDuplicates(["key"])
-        actions = F.map_from_entries("told")
-        places = F.transform(_located(F.col("source"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), actions[F.lower(t["value"])].alias("action")))
-        free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        near = near.union(at.select("key", F.inline(F.filter(places, lambda x: x["action"].isNotNull() & free(x)))))
-
-    # A term that both ways name takes the stronger action.
-    near = near.groupBy("key", "start", "end").agg(F.max("action").alias("action"))
-    near = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    span = ["key", "start", "end", "action"]
+    near = found.filter(F.size("contexts") > 0).select("key", F.inline("contexts"))
+    told = cut(revealing(found, words).select("class", "term", "action"))
+    places = near.join(disclosing(found, words), ["entity", "term"]).select(span)
+    places = places.union(near.join(told.withColumnRenamed("class", "group"), ["group", "term"]).select(span))
+    kinds = told.filter(F.col("class").isin([*KINDS, KEY])).groupBy("term").agg(F.max("action").alias("action"))
+    if not kinds.isEmpty():
+        places = places.union(_anywhere(d, words, found, kinds).select(span))
+
+    # A term that several ways name takes the stronger action.
+    terms = places.groupBy("key", "start", "end").agg(F.max("action").alias("action"))
+    terms = terms.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    return found.select("id", "key", "base").join(near, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    return found.select("id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
+
+
+def _anywhere(d: DataFrame, words: DataFrame, found: DataFrame, kinds: DataFrame) -> DataFrame:
+    """key, start, end and action wherever one of the terms stands outside of an entity."""
+    told = _small(kinds, "term")
+    hits = words.join(told, words["word"] == told["term"]).groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
+    hits = cut(hits.join(found.select("key", "base").dropDuplicates(["key"]), "key"))
+    # Few documents hold such a term as a rule; then no text is shuffled for them.
+    size = F.length(F.to_json(F.struct("told", "base"))) + 16
+    if (hits.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_CHARACTERS:
+        hits = F.broadcast(hits)
+    actions = F.map_from_entries("told")
+    places = F.transform(_located(F.col("source"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), actions[F.lower(t["value"])].alias("action")))
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return d.select("key", "source").join(hits, "key").select("key", F.inline(F.filter(places, lambda x: x["action"].isNotNull() & free(x))))
 
 
 def _listed(spans: Column, kind) -> Column:

@@ -153,33 +153,39 @@ def test_disclosing_terms_equal_brute_force(frame, docs):
 
 
 def slow_revealing(pairs):
-    """(class, term, people, df) above the threshold by loops, with the base kinds and keys."""
+    """(class, term): (people, df, action) above the threshold by loops over documents."""
     word = regex.compile(r"\p{L}+")
+    take = lambda t: {w for w in word.findall(t.lower()) if len(w) >= pii.TERM_LENGTH}
     docs = []
     for _, text in pairs:
         text = text or ""
-        spans = [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in base_spans(text))]
-        for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}", text):
-            if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and not any(a < m.end() and m.start() < b for _, a, b in spans):
-                spans.append((4, m.start(), m.end()))
-        classes, people, rest = set(), [], text
-        for kind, a, b in spans:
+        spans = sorted((int(a), int(b), pii.KINDS.index(k)) for k, a, b in (s.split(":") for s in base_spans(text)))
+        keys = [(m.start(), m.end(), 4) for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}", text) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        kinds, groups, people, rest, beside = set(), set(), [], text, set()
+        for i, (a, b, kind) in enumerate(spans):
             v, d = text[a:b], "".join(map(str, digits(text[a:b])))
+            group = pii.KINDS[kind] + ":" + [v.lower().rsplit("@", 1)[-1], ".".join(v.split(".")[:2]), d[:4], d[:4]][kind]
             people.append(f"{kind}:" + (v.lower() if kind == 0 else v if kind == 1 else d))
-            classes |= {[*pii.KINDS, "key"][kind]}
-            if kind < 4:
-                classes |= {pii.KINDS[kind] + ":" + [v.lower().rsplit("@", 1)[-1], ".".join(v.split(".")[:2]), d[:4], d[:4]][kind]}
-        for _, a, b in sorted(spans, key=lambda x: -x[1]):
+            kinds.add(pii.KINDS[kind]), groups.add(group)
+            left = max(spans[i - 1][1] if i else 0, a - pii.CONTEXT)
+            right = min(spans[i + 1][0] if i + 1 < len(spans) else len(text), b + pii.CONTEXT)
+            for start, end in ((left, a), (b, right)):
+                for m in word.finditer(text[start : max(start, end)]):
+                    cut = (start == left and left > 0 and m.start() == 0) or (end == right and right < len(text) and m.end() == end - start)
+                    if len(m.group()) >= pii.TERM_LENGTH and not cut:
+                        beside.add((group, m.group().lower()))
+        for a, b, _ in keys:
+            kinds.add("key"), people.append("4:" + "".join(map(str, digits(text[a:b]))))
+        for a, b, _ in sorted(spans + keys, reverse=True):
             rest = rest[:a] + " " + rest[b:]
-        take = lambda t: {w for w in word.findall(t.lower()) if len(w) >= pii.TERM_LENGTH}
-        docs.append((classes, min(people, default=None), take(rest), take(text)))
+        docs.append((kinds | groups, min(people, default=None), {(k, t) for k in kinds for t in take(rest)} | beside, take(text)))
     found = {}
     for c in set().union(*[d[0] for d in docs]):
         own = [d for d in docs if c in d[0]]
         people = len({d[1] for d in own})
         p = people / (len(docs) - len(own) + people)
-        for t in set().union(*[d[2] for d in own]):
-            n, held = len({d[1] for d in own if t in d[2]}), sum(t in d[2] for d in own)
+        for t in {t for d in own for k, t in d[2] if k == c}:
+            n, held = len({d[1] for d in own if (c, t) in d[2]}), sum((c, t) in d[2] for d in own)
             df = n + sum(t in d[3] for d in docs) - held
             value = math.log2((n + pii.SMOOTHING * p) / (df + pii.SMOOTHING) / p) / -math.log2(p) if p < 1 else 0
             if value >= pii.GENERALISE:
@@ -193,18 +199,17 @@ def test_revealing_terms_equal_brute_force(frame, docs):
     for i in range(300):
         words = rng.choices(filler, k=rng.randint(1, 30))
         if rng.random() < 0.3:
-            mail, phone, key = f"n{rng.randrange(40)}@mail{rng.randrange(3)}.org", f"+4930 555 0{rng.randrange(1000, 9999)}", f"{rng.getrandbits(160):040x}"
-            words += rng.choice([["write", mail], ["call", "homes", phone], ["secretly", key], [mail, phone], ["copied", "n1@mail1.org"]])
+            domain = rng.randrange(3)
+            mail, phone, key = f"n{rng.randrange(40)}@mail{domain}.org", f"+4930 555 0{rng.randrange(1000, 9999)}", f"{rng.getrandbits(160):040x}"
+            words += rng.choice([["write", f"branch{'abc'[domain]}", mail], ["call", "homes", phone], ["secretly", key], [mail, phone], ["copied", "n1@mail1.org"]])
         elif rng.random() < 0.05:
             words.append("write")
         pairs.append((10**6 + i, " ".join(words)))
-    d = frame(pairs)
-    text = F.coalesce("text", F.lit(""))
-    base = d.select(text.alias("text"), pii._base(text).alias("base")).select("text", F.concat("base", pii._keys(F.col("text"), F.col("base"))).alias("base"))
-    blanks = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(" ").alias("put"))))
-    found = base.select("base", pii._terms(pii._replaced(F.col("text"), blanks)).alias("terms"), pii._classes(F.col("base")).alias("classes"), F.array_min(F.transform("base", pii._entity)).alias("person"))
-    out = {(r["class"], r["term"]): (r["n"], r["df"], r["action"]) for r in pii.revealing(found, d.select(F.explode(pii._terms(text)).alias("word"))).collect()}
-    assert out == slow_revealing(pairs) and {"write", "call", "secretly"} <= {t for _, t in out} and "copied" not in {t for _, t in out}
+    d = frame(pairs).select(F.col("doc_id").alias("id"), F.col("text").alias("key"), F.coalesce("text", F.lit("")).alias("source"))
+    found = pii.revealing(pii.described(d), d.select(F.explode(pii._terms(F.col("source"))).alias("word")))
+    out = {(r["class"], r["term"]): (r["n"], r["df"], r["action"]) for r in found.collect()}
+    assert out == slow_revealing(pairs) and {"call", "secretly", "brancha"} <= {t for _, t in out} and "copied" not in {t for _, t in out}
+    assert ("email:mail1.org", "branchb") in out
 
 
 def test_keys_and_the_words_before_them_go(frame):
