@@ -10,7 +10,8 @@ VECTORS = "vec_id long, embedding array<float>, metadata binary, created timesta
 KV_LOG = "seq long, ts timestamp, k string, v binary, ttl int, op string"
 WAL = "lsn long, op string, layer string, entity_key string, payload string, crc long"
 
-LIVE, FLOAT_DIGITS = "deleted is not true", 6
+#: Decimals of distances and scores as they are returned.
+FLOAT_DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,11 @@ class Config:
     wal_segment_entries: int = 1_000_000
     wal_segments_kept: int = 3
     kv_retention_days: int = 7
-    #: Rows of a query side that may be broadcast.
-    broadcast_rows: int = 100_000
+    #: Share of missing rows in an index's files beyond which it is rebuilt, and the rows a file should hold.
+    index_fragmentation_threshold: float = 0.3
+    index_file_rows: int = 1_000_000
+    #: Bytes of a query block's components that may be broadcast.
+    broadcast_bytes: int = 64 * 2**20
 
     @classmethod
     def from_toml(cls, path: str) -> Config:

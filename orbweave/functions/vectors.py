@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import FLOAT_DIGITS
-
 #: Fixed value: keeps the cosine of a zero vector defined (its distance is 1).
 EPSILON = 1e-10
 SPACES = ("cosine", "euclidean")
@@ -36,14 +34,12 @@ def euclidean_distance(a: Column, b: Column) -> Column:
 
 
 def distance_to(embedding: Column, query, space: str) -> Column:
-    """Rounded distance of a column to a constant vector, whose norm is taken once (D39: other spaces are errors)."""
+    """Distance of a column to a constant vector, whose norm is taken once (D39: other spaces are errors)."""
     if space == "cosine":
-        value = cosine_distance(embedding, literal(query), F.lit(math.sqrt(sum(float(x) ** 2 for x in query))))
-    elif space == "euclidean":
-        value = euclidean_distance(embedding, literal(query))
-    else:
-        raise ValueError(f"unknown space {space!r}; known are {', '.join(SPACES)}")
-    return F.round(value, FLOAT_DIGITS)
+        return cosine_distance(embedding, literal(query), F.lit(math.sqrt(sum(float(x) ** 2 for x in query))))
+    if space == "euclidean":
+        return euclidean_distance(embedding, literal(query))
+    raise ValueError(f"unknown space {space!r}; known are {', '.join(SPACES)}")
 
 
 def normalised(embedding: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Config
 from ..errors import LimitError
+from ..functions.text import safe_key
+from ..sources.shared import numbered
 
 
 def seconds(ts: Column) -> Column:
@@ -39,21 +40,33 @@ def expired(log: DataFrame, as_of: Column) -> DataFrame:
     return last_writes(log).filter((F.col("op") != "delete") & ~live(as_of)).drop("op")
 
 
-def tiers(log: DataFrame, as_of: Column, config: Config, partitions: int = 64) -> DataFrame:
+def tiers(log: DataFrame, as_of: Column, config: Config, touches: DataFrame | None = None) -> DataFrame:
     """Live keys with their rank by recency (latest first, then key) and tier (D23).
 
-    Ranks are counted in two levels by day of the write, so no task sees all keys.
+    A key's recency is its last write or a later touch (k, ts), which is how keys are promoted.
+    Ranks are counted over ranges of recency, so no task sees all keys.
     """
-    rows = current(log, as_of).withColumn("day", F.floor(seconds(F.col("ts")) / 86400))
-    sizes = rows.groupBy("day").agg(F.count("*").alias("n"))
-    newer = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("day", newer.alias("newer"))
-    own = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("ts"), "k"))
-    ranked = rows.withColumn("own", own).join(sizes, "day").withColumn("rank", (F.col("own") + F.col("newer")).cast("long"))
+    rows = current(log, as_of).withColumn("used", F.col("ts"))
+    if touches is not None:
+        last = touches.groupBy("k").agg(F.max("ts").alias("touched"))
+        rows = rows.join(last, "k", "left").withColumn("used", F.greatest("ts", "touched")).drop("touched")
+    ranked = numbered(rows, F.desc("used"), F.col("k"))
     tier = F.when(F.col("rank") <= config.hot_capacity, "hot").when(F.col("rank") <= config.hot_capacity + config.warm_capacity, "warm").otherwise("cold")
     return ranked.select("k", "v", "ttl", "ts", "rank", tier.alias("tier"))
 
 
+def store_tiers(ranked: DataFrame, path: str) -> None:
+    """Writes tiers() by tier, sorted by key; a cold entry also has the name it may be exported under."""
+    d = ranked.withColumn("name", safe_key(F.col("k")))
+    d.repartitionByRange("tier", "k").sortWithinPartitions("tier", "k").write.mode("overwrite").partitionBy("tier").parquet(path)
+
+
+def tiered_get(spark: SparkSession, path: str, key: str, as_of: Column) -> DataFrame:
+    """k, v and tier of a live key in stored tiers; only row groups that may hold the key are read."""
+    found = spark.read.parquet(path).filter(F.col("k") == key)
+    return found.filter(live(as_of)).select("k", "v", "tier")
+
+
 def check_limits(rows: DataFrame, config: Config) -> None:
     """Raises for the first key or value beyond its limit."""
     bad = rows.filter((F.octet_length("k") > config.max_key_bytes) | (F.octet_length("v") > config.max_value_bytes)).select("k").limit(1).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,47 +84,117 @@ def context_window(messages: DataFrame, budget: int, span: int = 256) -> DataFra
     return d.filter((F.col("used") <= budget) | (F.col("back") == 1)).select("conv_id", "turn", "role", "text", "tokens")
 
 
+def _tokens() -> Column:
+    """The estimate of a message; one without a text is empty."""
+    return T.token_estimate(F.coalesce("text", F.lit("")))
+
+
+def _in_order(messages: DataFrame, *more: str) -> DataFrame:
+    """conv_id, turn, role, text and tokens with each conversation's messages in order in one partition."""
+    d = messages.withColumn("tokens", _tokens()).select("conv_id", "turn", "role", "text", "tokens", *more)
+    return d.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def _conversations(batches):
+    """(conv_id, iterator of rows) of sorted Arrow batches; rows are read as they are asked for."""
+    rows = (tuple(r) for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    return itertools.groupby(rows, key=lambda r: r[0])
+
+
+CONTEXT = "conv_id {}, turn {}, role string, text string, tokens long"
+
+
+def _context_schema(messages: DataFrame) -> str:
+    return CONTEXT.format(messages.schema["conv_id"].dataType.simpleString(), messages.schema["turn"].dataType.simpleString())
+
+
+def _context_batches(rows, schema, most: int = 4096):
+    import pyarrow as pa
+
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*part, strict=True))], schema=schema)
+
+
+def _arrow(messages: DataFrame):
+    """The Arrow schema of a context's rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(_context_schema(messages)))
+
+
 def context_window_strict(messages: DataFrame, budget: int) -> DataFrame:
     """As first written: a message that overflows the budget evicts everything before it.
 
-    The total since the last eviction is a fold over each conversation's messages in order.
+    The fold over a conversation streams through its sorted messages and holds no more than
+    the budget's worth of them, however long the conversation is.
     """
-    rows = messages.select("conv_id", F.struct("turn", "role", "text", T.token_estimate(F.col("text")).alias("tokens")).alias("m"))
-    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("from"), F.lit(0).alias("i"))
+    schema = _arrow(messages)
 
-    def step(acc: Column, m: Column) -> Column:
-        over = acc["total"] + m["tokens"] > budget
-        return F.struct(
-            F.when(over, m["tokens"]).otherwise(acc["total"] + m["tokens"]).alias("total"), F.when(over, acc["i"]).otherwise(acc["from"]).alias("from"), (acc["i"] + 1).alias("i")
-        )
+    def run(batches):
+        def kept():
+            for _, rows in _conversations(batches):
+                held, total = [], 0
+                for r in rows:
+                    if total + r[4] > budget:
+                        held, total = [], 0
+                    held.append(r)
+                    total += r[4]
+                yield from held
 
-    kept = F.slice("ms", F.col("from") + 1, F.size("ms"))
-    return rows.withColumn("from", F.aggregate("ms", start, step, lambda acc: acc["from"])).select("conv_id", F.inline(kept))
+        return _context_batches(kept(), schema)
 
+    return _in_order(messages).mapInArrow(run, _context_schema(messages))
 
-def context_summarised(messages: DataFrame, budget: int) -> DataFrame:
-    """Contexts whose two oldest messages are merged into a summary until they fit."""
 
-    def short(text: str) -> str:
-        return text if len(text) <= 50 else text[:50] + "..."
+def context_summarised(messages: DataFrame, budget: int) -> DataFrame:
+    """Contexts whose two oldest messages are merged into a summary until they fit.
 
-    def run(pdf):
-        import pandas as pd
+    Totals come from an aggregate, so that one pass in order knows when the rest fits; it
+    holds the summary and two messages.  Of two messages that do not fit the newer stays.
+    """
+    sums = messages.groupBy("conv_id").agg(F.sum(_tokens()).alias("all"), F.count("*").alias("n"))
+    same = messages.withColumnRenamed("conv_id", "_conv")
+    d = same.join(sums, F.col("_conv").eqNullSafe(F.col("conv_id"))).drop("_conv")
+    schema = _arrow(messages)
 
-        queue = [(r.turn, r.role, r.text, len(r.text.encode()) // 4 + 1) for r in pdf.sort_values("turn").itertuples()]
-        while len(queue) > 1 and sum(m[3] for m in queue) > budget:
-            first = queue.pop(0)
-            if len(queue) > 1:
-                second = queue.pop(0)
-                text = f"[Summarized: {short(first[2])} + {short(second[2])}]"
-                queue.insert(0, (first[0], "system", text, len(text.encode()) // 4 + 1))
-        return pd.DataFrame([(pdf.conv_id.iloc[0], *m) for m in queue], columns=["conv_id", "turn", "role", "text", "tokens"])
+    def short(text: str | None) -> str:
+        text = text or ""
+        return text if len(text) <= 50 else text[:50] + "..."
 
-    return messages.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandas(run, "conv_id long, turn long, role string, text string, tokens long")
+    def run(batches):
+        def kept():
+            for _, rows in _conversations(batches):
+                first = next(rows)
+                head, used, left = first[:5], first[5], first[6]
+                for r in rows:
+                    if used <= budget:
+                        yield head
+                        head = r[:5]
+                        continue
+                    if left > 2:
+                        text = f"[Summarized: {short(head[3])} + {short(r[3])}]"
+                        tokens = len(text.encode()) // 4 + 1
+                        used += tokens - head[4] - r[4]
+                        head = (head[0], head[1], "system", text, tokens)
+                    else:  # two are left: the older goes
+                        used -= head[4]
+                        head = r[:5]
+                    left -= 1
+                yield head
+
+        return _context_batches(kept(), schema)
+
+    return _in_order(d, "all", "n").mapInArrow(run, _context_schema(messages))
+
+
+def context_lines(messages: DataFrame) -> DataFrame:
+    """conv_id, turn and each message as a "role: text" line: the rendering of a context of any length."""
+    return messages.select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("line"))
 
 
 def context_text(messages: DataFrame) -> DataFrame:
-    """conv_id and its messages as "role: text" lines."""
+    """conv_id and its messages as "role: text" lines in one string; for contexts, which a budget bounds."""
     rows = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"))
     return rows.select("conv_id", F.array_join(F.transform("ms", lambda m: F.concat_ws(": ", m["role"], m["text"])), "\n").alias("context"))

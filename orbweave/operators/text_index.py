@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.shared import numbered
+
+
+def latest_documents(docs: DataFrame, version: str) -> DataFrame:
+    """Each document's row of the largest version (D18); rows of one id and version are ordered by their text."""
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    last = docs.groupBy("doc_id").agg(F.max_by(row, F.struct(version, "text")).alias("r"))
+    return last.select("r.*")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts of its terms; a document is one row, so nothing is shuffled."""
+    return docs.select("doc_id", T.counted(T.index_terms(F.col("text"))).alias("terms"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term and freq; counts are combined before the shuffle."""
-    return docs.select("doc_id", F.explode(T.index_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
+    """doc_id, term and freq of documents with one row each; ``latest_documents`` reduces several versions."""
+    return _counted(docs).select("doc_id", F.inline("terms")).select("doc_id", F.col("value").alias("term"), F.col("n").alias("freq"))
+
 
+def postings(docs: DataFrame, version: str | None = None) -> DataFrame:
+    """term, doc_id, freq and tf = freq / largest freq of the document.
 
-def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, freq and tf = freq / largest freq of the document (a document's last version only: D18)."""
-    most = F.max("freq").over(Window.partitionBy("doc_id"))
-    return term_counts(docs).select("term", "doc_id", "freq", (F.col("freq") / most).alias("tf"))
+    With a ``version`` column only the last version of each document counts (D18).
+    """
+    d = _counted(docs if version is None else latest_documents(docs, version))
+    d = d.select("doc_id", F.array_max(F.transform("terms", lambda t: t["n"])).alias("most"), F.inline("terms"))
+    return d.select(F.col("value").alias("term"), "doc_id", F.col("n").alias("freq"), (F.col("n") / F.col("most")).alias("tf"))
+
+
+def postings_of(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """postings() of some terms, for a search without an index: other terms are counted inside the row only."""
+    d = _counted(docs).select("doc_id", F.array_max(F.transform("terms", lambda t: t["n"])).alias("most"), F.filter("terms", lambda t: t["value"].isin(terms or [""])).alias("terms"))
+    d = d.select("doc_id", "most", F.inline("terms"))
+    return d.select(F.col("value").alias("term"), "doc_id", F.col("n").alias("freq"), (F.col("n") / F.col("most")).alias("tf"))
+
+
+def distinct_terms(posting: DataFrame) -> DataFrame:
+    """The number of distinct terms as ``terms``, one row."""
+    return posting.groupBy("term").agg(F.lit(1).alias("one")).agg(F.count("*").alias("terms"))
 
 
 def idf(posting: DataFrame, total: int) -> DataFrame:
@@ -27,17 +53,14 @@ def idf(posting: DataFrame, total: int) -> DataFrame:
     return posting.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(total)) / (F.col("df") + 1)) + 1)
 
 
-def query_terms(query: str) -> list[str]:
+def query_terms(spark: SparkSession, query: str) -> list[str]:
     """The index tokenizer on a constant; repeated terms stay (they multiply)."""
-    import re
-
-    words = [re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in query.lower().split()]
-    return [w for w in words if len(w.encode()) >= 2]
+    return list(spark.range(1).select(T.index_terms(F.lit(query))).first()[0])
 
 
 def search(posting: DataFrame, total: int, query: str, k: int) -> DataFrame:
     """doc_id and score of the best k documents; any term matches, ties by id (D19)."""
-    terms = query_terms(query)
+    terms = query_terms(posting.sparkSession, query)
     found = posting.filter(F.col("term").isin(terms or [""]))
     times = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, terms.count(t))]) if terms else None
     df = idf(found, total)
@@ -52,20 +75,12 @@ def document_vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words).alias("pos", "token")).select("doc_id", "token", (F.col("pos") + 1).cast("long").alias("token_id"))
 
 
-def corpus_vocabulary(docs: DataFrame, shards: int = 256) -> DataFrame:
+def corpus_vocabulary(docs: DataFrame) -> DataFrame:
     """token and token_id over the whole corpus in order of the first (doc_id, position).
 
-    Ids are ranks in two levels: the documents that bring new tokens are few rows per range
-    of ids, and the ranges' sizes are summed apart.
+    Ids are ranks over ranges of (doc_id, position), so the documents that bring most new
+    tokens are split like any others.
     """
     words = docs.select("doc_id", F.posexplode(F.array_distinct(T.embedding_tokens(F.col("text")))).alias("pos", "token"))
     first = words.groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("token", "at.doc_id", "at.pos")
-    bound = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (bound[0] or 0), (bound[1] or 0)
-    step = max(1, math.ceil((high - low + 1) / shards))
-    first = first.withColumn("shard", F.floor((F.col("doc_id") - low) / step))
-    sizes = first.groupBy("shard").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("shard", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id", "pos"))
-    return first.withColumn("own", own).join(F.broadcast(sizes), "shard").select("token", (F.col("own") + F.col("before")).cast("long").alias("token_id"))
+    return numbered(first, "doc_id", "pos", "token", name="token_id").select("token", "token_id")

@@ -11,13 +11,19 @@ from ..errors import NotFoundError
 from .files import children, exists, remove
 
 
-def create(spark: SparkSession, root: str, tables: dict[str, DataFrame], at: str, most: int | None = None, snapshot_id: str | None = None) -> str:
-    """Writes every table and then the metadata, which makes the snapshot visible."""
+META = "snapshot_id string, created string, counts map<string,long>, lsn long"
+
+
+def create(spark: SparkSession, root: str, tables: dict[str, DataFrame], at: str, most: int | None = None, snapshot_id: str | None = None, lsn: int = 0) -> str:
+    """Writes every table and then the metadata, which makes the snapshot visible.
+
+    ``lsn`` is the last log entry that the tables contain.
+    """
     name = snapshot_id or f"snap-{uuid.uuid4().hex[:12]}"
     for table, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/{table}")
     counts = {t: spark.read.parquet(f"{root}/{name}/{t}").count() for t in tables}
-    meta = spark.createDataFrame([(name, at, counts)], "snapshot_id string, created string, counts map<string,long>")
+    meta = spark.createDataFrame([(name, at, counts, lsn)], META)
     meta.coalesce(1).write.mode("overwrite").json(f"{root}/{name}/_meta.json")
     if most:
         prune(spark, root, most)
@@ -25,10 +31,9 @@ def create(spark: SparkSession, root: str, tables: dict[str, DataFrame], at: str
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """snapshot_id, created and counts, newest first; folders without metadata are unfinished."""
+    """snapshot_id, created, counts and lsn, newest first; folders without metadata are unfinished."""
     found = [f"{root}/{n}/_meta.json" for n, _ in children(spark, root) if exists(spark, f"{root}/{n}/_meta.json")]
-    schema = "snapshot_id string, created string, counts map<string,long>"
-    rows = spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
+    rows = spark.read.schema(META).json(found) if found else spark.createDataFrame([], META)
     return rows.orderBy(F.desc("created"), F.desc("snapshot_id"))
 
 
