@@ -203,16 +203,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return d.withColumn("key", F.unhex(row_key(F.col("id"), F.col("source"))))
 
 
-def disclosing(found: DataFrame, words: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term and action of the terms that disclose a value beyond the thresholds."""
+def value_pairs(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """entity, term and n of the terms that stand beside a value in enough documents."""
     pairs = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = cut(pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
+    return cut(pairs.groupBy("p.entity", "p.term").agg(F.count("*").alias("n")).filter(F.col("n") >= support))
+
+
+def disclosing(found: DataFrame, pairs: DataFrame, df: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """entity, term and action of the value_pairs() that reach the thresholds; df has the documents of each term."""
     entities = found.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    wanted = _small(pairs.select("term").distinct(), "term")
-    terms = words.join(wanted, words["word"] == wanted["term"], "left_semi").groupBy(F.col("word").alias("term")).agg(F.count("*").alias("df_term"))
     total = found.agg(F.count("*").cast("double")).first()[0]
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.col("n") * F.lit(total) / (F.col("df_term") * F.col("df_entity")))
+    scored = pairs.join(entities, "entity").join(df, "term")
+    pmi = F.log2(F.col("n") * F.lit(total) / (F.col("all") * F.col("df_entity")))
     ic = F.log2(F.lit(total) / F.col("df_entity"))
     scored = scored.withColumn("disclosure", F.when(ic > 0, pmi / ic)).filter(F.col("disclosure") >= generalise)
     return scored.select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
@@ -243,10 +245,15 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def revealing(found: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING) -> DataFrame:
-    """class, term, n, df, disclosure and action of the terms that reveal a kind (by standing in the document) or a group (by standing beside it).
+def _disclosure(df: Column, smoothing: float) -> Column:
+    return F.log2((F.col("n") + smoothing * F.col("p")) / (df + smoothing) / F.col("p")) / -F.log2("p")
+
 
-    ``found`` is ``described()``, ``words`` has one row (word) for each distinct term of each document.
+def class_pairs(found: DataFrame, generalise: float = GENERALISE, smoothing: float = SMOOTHING) -> DataFrame:
+    """class, term, n (people), n_docs and p of the terms that may reveal a kind (by standing in the document) or a group (by standing beside it).
+
+    No term is in fewer documents than people it was found with, which bounds its disclosure
+    before the rest of the corpus is counted.
     """
     total = float(found.count())
     held = found.filter(F.size("base") > 0)
@@ -256,33 +263,40 @@ def revealing(found: DataFrame, words: DataFrame, generalise: float = GENERALISE
     beside = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["group"].alias("class"), c["term"].alias("term"))))
     by_group = held.select(F.inline(beside), "person")
     pairs = by_kind.union(by_group).groupBy("class", "term", "person").agg(F.count("*").alias("d")).groupBy("class", "term").agg(F.count("*").alias("n"), F.sum("d").alias("n_docs"))
+    return cut(pairs.join(classes, "class").filter(_disclosure(F.col("n"), smoothing) >= generalise))
 
-    def disclosure(df) -> Column:
-        return F.log2((F.col("n") + smoothing * F.col("p")) / (df + smoothing) / F.col("p")) / -F.log2("p")
 
-    # No term is in fewer documents than people it was found beside, which bounds its disclosure.
-    candidates = cut(pairs.join(classes, "class").filter(disclosure(F.col("n")) >= generalise))
-    wanted = _small(candidates.select("term").distinct(), "term")
-    df = words.join(wanted, words["word"] == wanted["term"], "left_semi").groupBy(F.col("word").alias("term")).agg(F.count("*").alias("all"))
-    scored = candidates.join(df, "term").withColumn("df", F.col("n") + F.col("all") - F.col("n_docs"))
-    scored = scored.withColumn("disclosure", disclosure(F.col("df"))).filter(F.col("disclosure") >= generalise)
+def revealing(pairs: DataFrame, df: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING) -> DataFrame:
+    """class, term, n, df, disclosure and action of the class_pairs() that reach the thresholds; df has the documents of each term."""
+    scored = pairs.join(df, "term").withColumn("df", F.col("n") + F.col("all") - F.col("n_docs"))
+    scored = scored.withColumn("disclosure", _disclosure(F.col("df"), smoothing)).filter(F.col("disclosure") >= generalise)
     return scored.select("class", "term", "n", "df", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
+def holders(words: DataFrame, *pairs: DataFrame) -> DataFrame:
+    """key and term of every document that holds a term of one of the pairs; one pass over the corpus."""
+    wanted = pairs[0].select("term")
+    for other in pairs[1:]:
+        wanted = wanted.union(other.select("term"))
+    return cut(words.join(_small(wanted.distinct(), "term"), "term", "left_semi"))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, key, base spans (kind, start, end, value; keys last) and terms (start, end, action) of each row."""
     d = _keyed(docs, id_col, text_col).withColumn("source", F.coalesce("source", F.lit("")))
     found = cut(described(d))
-    words = d.select("key", F.explode(_terms(F.col("source"))).alias("word"))
+    values, classes = value_pairs(found), class_pairs(found)
+    held = holders(d.select("key", F.explode(_terms(F.col("source"))).alias("term")), values, classes)
+    df = held.groupBy("term").agg(F.count("*").alias("all"))
 
     span = ["key", "start", "end", "action"]
     near = found.filter(F.size("contexts") > 0).select("key", F.inline("contexts"))
-    told = cut(revealing(found, words).select("class", "term", "action"))
-    places = near.join(disclosing(found, words), ["entity", "term"]).select(span)
+    told = cut(revealing(classes, df).select("class", "term", "action"))
+    places = near.join(disclosing(found, values, df), ["entity", "term"]).select(span)
     places = places.union(near.join(told.withColumnRenamed("class", "group"), ["group", "term"]).select(span))
     kinds = told.filter(F.col("class").isin([*KINDS, KEY])).groupBy("term").agg(F.max("action").alias("action"))
     if not kinds.isEmpty():
-        places = places.union(_anywhere(d, words, found, kinds).select(span))
+        places = places.union(_anywhere(d, held, found, kinds).select(span))
 
     # A term that several ways name takes the stronger action.
     terms = places.groupBy("key", "start", "end").agg(F.max("action").alias("action"))
@@ -291,10 +305,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.select("id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
-def _anywhere(d: DataFrame, words: DataFrame, found: DataFrame, kinds: DataFrame) -> DataFrame:
+def _anywhere(d: DataFrame, held: DataFrame, found: DataFrame, kinds: DataFrame) -> DataFrame:
     """key, start, end and action wherever one of the terms stands outside of an entity."""
-    told = _small(kinds, "term")
-    hits = words.join(told, words["word"] == told["term"]).groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
+    hits = held.join(_small(kinds, "term"), "term").groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
     hits = cut(hits.join(found.select("key", "base").dropDuplicates(["key"]), "key"))
     # Few documents hold such a term as a rule; then no text is shuffled for them.
     size = F.length(F.to_json(F.struct("told", "base"))) + 16

@@ -206,7 +206,8 @@ def test_revealing_terms_equal_brute_force(frame, docs):
             words.append("write")
         pairs.append((10**6 + i, " ".join(words)))
     d = frame(pairs).select(F.col("doc_id").alias("id"), F.col("text").alias("key"), F.coalesce("text", F.lit("")).alias("source"))
-    found = pii.revealing(pii.described(d), d.select(F.explode(pii._terms(F.col("source"))).alias("word")))
+    df = d.select(F.explode(pii._terms(F.col("source"))).alias("term")).groupBy("term").agg(F.count("*").alias("all"))
+    found = pii.revealing(pii.class_pairs(pii.described(d)), df)
     out = {(r["class"], r["term"]): (r["n"], r["df"], r["action"]) for r in found.collect()}
     assert out == slow_revealing(pairs) and {"call", "secretly", "brancha"} <= {t for _, t in out} and "copied" not in {t for _, t in out}
     assert ("email:mail1.org", "branchb") in out
