@@ -7,7 +7,10 @@ itself).  The pairs of all proposals are tested together against a sorted table
 verdicts; only words with an incompatible pair undergo exact merging.  Documents are then
 assembled from their words' packed ids.
 
-A null text is encoded as the empty text.  Ids may be null or repeated; other columns are
+Decoding takes ids only: a table of all tokens, joined by spaces as the vocabulary's file
+asks for.  Ids that the vocabulary does not have are left out.
+
+A null text is encoded as the empty text, null ids are decoded to null.  Ids may be null or repeated; other columns are
 not read.  The caches of words and pairs are bounded, so memory does not grow with the
 corpus; nothing is shuffled.
 """
@@ -71,7 +74,7 @@ class Encoder:
 
     def __init__(self, vocab: WordVocabulary):
         self.vocab, self.pairs = vocab, PairTable(vocab)
-        self.known: dict[tuple[bool, str] | str, tuple[bytes, str]] = {}
+        self.known: dict[tuple[bool, str] | str, bytes] = {}
         self.merged = self.proposed = 0
 
     def greedy(self, word: str) -> list[int] | None:
@@ -114,11 +117,10 @@ class Encoder:
             if bad or ids is None:
                 self.merged += 1
                 ids = [t.id for t in vocab.tokenizer.model.tokenize(text)]
-            entry = (np.array(ids, "<u4").tobytes(), " ".join(map(vocab.tokens.__getitem__, ids)))
-            self.known[(True, word) if mapped else word] = entry
+            self.known[(True, word) if mapped else word] = np.array(ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Packed ids and the decoded string of each text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         parsed = []
@@ -139,19 +141,30 @@ class Encoder:
                 self.learn(sorted(words), mapped)
         out = []
         for parts in parsed:
-            ids, decoded = [], []
+            ids = []
             for special, keys, _ in parts:
                 if special is not None:
                     ids.append(np.array([special], "<u4").tobytes())
-                    decoded.append(self.vocab.tokens[special])
                 else:
-                    found = list(map(self.known.__getitem__, keys))
-                    ids += [f[0] for f in found]
-                    decoded += [f[1] for f in found]
-            out.append((b"".join(ids), " ".join(decoded)))
+                    ids += map(self.known.__getitem__, keys)
+            out.append(b"".join(ids))
         return out
 
 
+class Decoder:
+    """Texts of ids."""
+
+    def __init__(self, vocab: WordVocabulary):
+        self.table = [vocab.tokens.get(i) for i in range(max(vocab.tokens) + 1)]
+        self.whole = None not in self.table
+
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        known = (ids >= 0) & (ids < len(self.table))
+        found = map(self.table.__getitem__, (ids if known.all() else ids[known]).tolist())
+        return " ".join(found if self.whole else (t for t in found if t is not None))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -161,8 +174,17 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(vocabulary(path))
+    return _decoders[path]
+
+
 def _each(batch, path: str):
-    """(packed ids, decoded) of each text of a batch, a bounded chunk at a time."""
+    """Packed ids of each text of a batch, a bounded chunk at a time."""
     texts = [t or "" for t in batch.column(1).to_pylist()]
     own = encoder(path)
     for a, b in slices([len(t) for t in texts], CHUNK):
@@ -170,30 +192,44 @@ def _each(batch, path: str):
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (array of int) and the decoded text of each row."""
+    """doc_id and ids (array of int) of each row."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            found = list(_each(batch, tokenizer))
-            ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([d for _, d in found], pa.string())], names=["doc_id", "ids", "decoded"])
+            ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in _each(batch, tokenizer)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+
+
+def decode(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and the text of each row of ids."""
+    import pyarrow as pa
+
+    def run(batches):
+        own = decoder(tokenizer)
+        for batch in batches:
+            texts = [own.decode(ids.values.to_numpy(zero_copy_only=False)) if ids.is_valid else None for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    d = rows.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like encode(), with digests in place of the ids and the decoded text."""
+    """doc_id, n_tokens and digests of the ids and of the text that they are decoded to."""
     import pyarrow as pa
 
     def run(batches):
+        back = decoder(tokenizer)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for packed, text in _each(batch, tokenizer):
+            for packed in _each(batch, tokenizer):
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(text.encode()).hexdigest())
+                decoded.append(hashlib.sha256(back.decode(np.frombuffer(packed, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["cut", "let", "prepare", "release", "row_key", "shared_dir", "slices", "table", "utf8_buffers"]
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Bounds of one Arrow batch: a worker never holds more of a column at once.
@@ -30,24 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir()
-    if folder is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:  # tests and single machines only
-            folder = tempfile.mkdtemp(prefix="orbweave-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored in the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Let the driver drop what finished rounds of an iteration left on disk.
 
@@ -60,11 +46,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, even where body repeats it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key of (doc_id, text), nulls told apart.  Rows equal in both share it."""
     return F.md5(

@@ -43,8 +43,8 @@ def _letters(code: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_into(table: np.ndarray, rows: np.ndarray, code: np.ndarray) -> None:
-    """Add the 1- to 3-gram buckets of code points (each with its row) to table."""
+def _count_into(table: np.ndarray, rows: np.ndarray, code: np.ndarray, fresh: np.ndarray) -> None:
+    """Add the 1- to 3-gram buckets of code points (each with its row) that end on a fresh one to table."""
     c = code.astype(np.uint64)
     width = table.shape[1]
     gram = c.copy()
@@ -54,7 +54,7 @@ def _count_into(table: np.ndarray, rows: np.ndarray, code: np.ndarray) -> None:
         x = (gram + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         bucket = (x >> np.uint64(64 - 12)).astype(np.int64) % width
         own = rows[: len(bucket)]
-        inside = own == rows[n - 1 :]
+        inside = (own == rows[n - 1 :]) & fresh[n - 1 :]
         table += np.bincount(own[inside] * width + bucket[inside], minlength=table.size).reshape(table.shape)
 
 
@@ -65,24 +65,32 @@ def count_ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(t) if t else 0 for t in texts]
     for a, b in slices(sizes, CHUNK):
         for c, d in slices([1] * (b - a), ROWS):
-            rows, codes = [], []
+            rows, codes, fresh = [], [], []
             part = np.zeros((d - c, BUCKETS), np.float32)
 
-            def flush(rows=rows, codes=codes, part=part):
+            def flush(rows=rows, codes=codes, fresh=fresh, part=part):
                 if codes:
-                    _count_into(part, np.concatenate(rows), np.concatenate(codes))
-                    rows.clear(), codes.clear()
+                    _count_into(part, *map(np.concatenate, (rows, codes, fresh)))
+                    rows.clear(), codes.clear(), fresh.clear()
 
             for i in range(a + c, a + d):
-                text = texts[i] or ""
-                for p in range(0, len(text), CHUNK):
+                # The last two code points of a piece are carried into the next, and counted once.
+                text, tail = texts[i] or "", np.array([32], np.uint32)
+                known = 0
+                for p in range(0, max(len(text), 1), CHUNK):
                     code = np.frombuffer(text[p : p + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
                     letter = _letters(code)
                     lettered[i] |= bool(letter.any())
                     code = np.where(letter, code, 32)
-                    keep = (code != 32) | np.concatenate([[True], code[:-1] != 32])
-                    codes.append(np.concatenate([[32], code[keep], [32]]))
-                    rows.append(np.full(len(codes[-1]), i - a - c))
+                    if p + CHUNK >= len(text):
+                        code = np.concatenate([code, [32]])
+                    code = code[(code != 32) | (np.concatenate([tail[-1:], code[:-1]]) != 32)]
+                    piece = np.concatenate([tail, code])
+                    codes.append(piece)
+                    rows.append(np.full(len(piece), i - a - c))
+                    fresh.append(np.arange(len(piece)) >= known)
+                    tail = piece[-2:]
+                    known = len(tail)
                     if sum(map(len, codes)) > CHUNK:
                         flush()
             flush()

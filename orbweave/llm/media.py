@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, slices, table
 
 RATE = 8000
 FRAME = 256
@@ -35,6 +35,8 @@ FAN = 3
 #: Decimals of a magnitude, so that rounding noise cannot decide between peaks.
 DECIMALS = 3
 PAD = 64
+#: Characters of text whose media are returned together.
+CHUNK = 1 << 20
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -111,10 +113,11 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                media, _, n, t, h = _describe(text)
+            texts = batch.column(1).to_pylist()
+            for a, b in slices([len(t or "") for t in texts], CHUNK):
+                media, _, n, t, h = zip(*map(_describe, texts[a:b]), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([n], pa.int64()), pa.array([media], pa.binary()), pa.array([t], pa.list_(pa.int32())), pa.array([h], pa.list_(pa.int32()))],
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(media, pa.binary()), pa.array(t, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int32()))],
                     names=["doc_id", "n_bytes", "media", "fp_time", "fp_hash"],
                 )
 

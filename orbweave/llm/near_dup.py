@@ -2,6 +2,8 @@
 
 1. A text's word shingles are hashed; texts with the same shingle set form one class, so
    exact copies cost one row from here on.
+   A set's hashes are 64-bit: two different shingles of the corpus share one with a
+   probability of about 3e-8 in a million, and then count as one.
 2. Each class gets ``BANDS`` bands of ``ROWS`` MinHash samples.  All samples are folded
    into an odd sketch, a bitmap that keeps the parity of the samples that fall on each bit.
    The population count of the XOR of two sketches estimates how many samples differ,
@@ -19,7 +21,7 @@
 
 With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability 3e-6,
 one of 0.9 with 1e-11.  Null texts and texts without a word have no shingles and are linked
-with nothing.  Repeated rows share one result.  A component is named by its smallest id;
+with nothing.  Ids are integers.  Repeated rows share one result.  A component is named by its smallest id;
 one whose ids are all null has no name and its rows are kept.  Other columns of the input
 are not read, so their names cannot clash.
 """
@@ -267,18 +269,29 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _by_bucket(members: DataFrame, marked: DataFrame) -> DataFrame:
+    """Members with what is known of their bucket.
+
+    The bucket is joined in another form than ``marked`` was grouped by, so that both sides
+    are shuffled for the join and Spark can split the members of a hot bucket.
+    """
+    left = members.withColumn("_b", F.struct("bucket"))
+    right = marked.select(F.struct("bucket").alias("_b"), *[c for c in marked.columns if c != "bucket"])
+    return left.join(right, "_b").drop("_b")
+
+
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members (bucket, node) of buckets with several components, and their components."""
     own = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     mixed = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    return own.join(mixed, "bucket")
+    return _by_bucket(own, mixed)
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
     """Pairs of each bucket's pivot with its other members; components tell them apart."""
     key = F.struct((F.xxhash64(F.lit(turn), "node") if turn else F.col("node")).alias("order"), "node", "component")
     pivots = members.groupBy("bucket").agg(F.min(key).alias("p")).select("bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("other"))
-    pairs = members.join(pivots, "bucket").filter("node <> pivot and component <> other")
+    pairs = _by_bucket(members, pivots).filter("node <> pivot and component <> other")
     return _ordered(pairs, "node", "pivot")
 
 
@@ -295,7 +308,7 @@ def _exhaustive(members: DataFrame, classes: DataFrame, percent: int) -> DataFra
         F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"),
         F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"),
     )
-    d = members.join(shape, "bucket").join(classes.select("node", "n", "sketch", "parity"), "node")
+    d = _by_bucket(members, shape).join(classes.select("node", "n", "sketch", "parity"), "node")
     spot = F.xxhash64(F.lit("block"), "node")
     outside = d.filter("component <> usual").withColumn("i", F.pmod(spot, "rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
     every = d.withColumn("j", F.pmod(spot, "columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))

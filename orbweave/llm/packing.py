@@ -10,9 +10,9 @@ it has sent, the window that serves a packet has a closed form,
 
 where the phase, a hash of the source, spreads queues that are shorter than their quantum
 over all windows.  Deficits so carry across windows and partitions without a sequential
-pass: the positions in a queue and in the whole order are prefix sums, taken in two levels
-so that no window function sees more than one input partition of one source, or a few
-hundred windows.  Packets are cut where a sequence is full, so that all sequences but the
+pass: the positions in a queue and in the whole order are prefix sums, taken in two levels.
+A partition's own sums are taken while it is tokenised, so a source with most of all rows
+is not gathered; the order's groups hold a few hundred windows each.  Packets are cut where a sequence is full, so that all sequences but the
 last hold exactly ``LENGTH`` tokens.
 
 By default the target shares are those of the tokens of each source.  A null text is the
@@ -43,6 +43,8 @@ END_ID = 1
 #: Windows whose packets are put in order together, and such groups that are summed together.
 GROUP = 256
 GROUPS = 1024
+#: Rows (source, partition) that may be broadcast.
+BROADCAST_PARTS = 100_000
 #: Fixed value: the pattern that byte-level vocabularies split texts with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = 1 << 20
@@ -82,7 +84,7 @@ def byte_vocabulary(path: str) -> ByteVocabulary:
 
 
 def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source key, n (with the end id) and compressed ids of each row."""
+    """doc_id, source key, n (with the end id), the tokens of the source before it in its partition, and compressed ids of each row."""
     import pyarrow as pa
 
     def run(batches):
@@ -91,18 +93,21 @@ def tokenise(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         vocab = byte_vocabulary(tokenizer)
         kind = "H" if vocab.size <= 1 << 16 else "I"
         pack = zstandard.ZstdCompressor(level=1).compress
+        totals: dict[str, int] = {}
         for batch in batches:
-            n, packed = [], []
-            for text in batch.column(1).to_pylist():
+            n, before, packed = [], [], []
+            for text, queue in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ids = array(kind, vocab.encode(text) if text else [])
                 ids.append(END_ID)
                 n.append(len(ids))
+                before.append(totals.get(queue, 0))
+                totals[queue] = before[-1] + len(ids)
                 packed.append(pack(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "queue", "n", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(before, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "queue", "n", "before", "packed"])
 
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("queue"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, queue string, n long, packed binary")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, queue string, n long, before long, packed binary")
 
 
 def _before(of: str, *by: str, order: list[str]):
@@ -112,12 +117,13 @@ def _before(of: str, *by: str, order: list[str]):
 
 
 def deal(tokens: DataFrame, length: int = LENGTH, packet: int = PACKET, shares: dict[str, float] | None = None) -> DataFrame:
-    """uid, start, length, sequence_id and offset of every piece of (uid, queue, n).
+    """uid, start, length, sequence_id and offset of every piece of (uid, queue, n, before).
 
-    ``uid`` holds the input partition above its lowest 33 bits.  ``shares`` gives target
+    ``uid`` holds the input partition above its lowest 33 bits, ``before`` the tokens of the
+    queue in the rows of that partition with smaller uids.  ``shares`` gives target
     shares by source; sources without one keep their share of the tokens.
     """
-    d = tokens.select("uid", "queue", "n", F.shiftright("uid", 33).alias("part"))
+    d = tokens.select("uid", "queue", "n", "before", F.shiftright("uid", 33).alias("part"))
     parts = d.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     queue = F.sum("tokens").over(Window.partitionBy("queue"))
     total = tokens.agg(F.sum("n")).first()[0] or 1
@@ -127,7 +133,8 @@ def deal(tokens: DataFrame, length: int = LENGTH, packet: int = PACKET, shares:
         share = F.coalesce(given[F.col("queue")], share)
     parts = parts.select("queue", "part", queue.alias("own"), _before("tokens", "queue", order=["part"]).alias("base")).withColumn("share", share)
 
-    d = d.withColumn("before", _before("n", "queue", "part", order=["uid"])).join(parts, ["queue", "part"])
+    # One row for each source of each partition: the documents need no exchange to find theirs.
+    d = d.join(F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts, ["queue", "part"])
     d = d.select("uid", "queue", "n", "share", (F.col("base") + F.col("before")).alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(packet).cast("long"))).alias("start"))
     d = d.withColumn("size", F.least(F.lit(packet).cast("long"), F.col("n") - F.col("start"))).withColumn("at", F.col("at") + F.col("start"))
     phase = F.xxhash64(F.lit("phase"), "queue") / F.lit(2.0**64) + 0.5

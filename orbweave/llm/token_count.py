@@ -30,7 +30,7 @@ from .word_pieces import WordVocabulary, vocabulary
 
 LIMIT = 2048
 #: Characters of text whose documents share a block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 
 
 def frequencies(vocab: WordVocabulary, text: str) -> tuple[Counter, int]:

@@ -6,8 +6,10 @@ are lengths, depth, digit ratio, entropy, parameter counts and how often URLs of
 suffix are blocked.  The fitted trees are compiled into one built-in expression, so the
 scoring pass is a projection.
 
-Training takes at most ``TRAIN_ROWS`` labelled URLs, chosen by the order of their hashes,
-and suffix statistics the ``SUFFIXES`` most frequent suffixes; every URL is scored.
+Suffix statistics are counted over all labelled URLs and joined to the rows; a training
+row takes those of the other ``FOLDS`` - 1 folds of URLs, so that no label is a feature of
+its own row.  Training takes at most ``TRAIN_ROWS`` labelled URLs, chosen by the order of a
+hash of id and URL; every URL is scored.
 A null URL or one without ``://`` has an empty host and path, fits no rule and is scored
 like any other.  If the labelled URLs are all alike, or there are none, the trees are
 replaced by that verdict, or ``allow``.  Ids may be null or repeated.
@@ -20,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import cut, prepare, table
 
 #: The rules of the contract as (verdict, host, path).
 RULES = [
@@ -31,7 +33,11 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 TRAIN_ROWS = 20_000
-SUFFIXES = 256
+FOLDS = 5
+#: Weight of the overall share in the share of a suffix, in URLs.
+PRIOR_URLS = 5
+#: Suffixes whose statistics may be broadcast; more are joined by a shuffle.
+BROADCAST_SUFFIXES = 50_000
 TREES, DEPTH = 12, 4
 FEATURES = ["url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "suffix_blocked"]
 
@@ -90,12 +96,12 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def _suffix_blocked(stats: list[tuple[str, float]], prior: float) -> Column:
-    out = F.lit(prior)
-    if stats:
-        pairs = [x for s, v in stats for x in (F.lit(s), F.lit(v))]
-        out = F.coalesce(F.create_map(*pairs)[F.col("suffix")], out)
-    return out
+def _share(blocked: Column, n: Column, prior: float) -> Column:
+    return F.round((blocked + PRIOR_URLS * prior) / (n + PRIOR_URLS), 6)
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
 
 
 def _tree(node) -> Column:
@@ -108,38 +114,35 @@ def _tree(node) -> Column:
 
 
 def fit(labelled: DataFrame, seed: int = 7):
-    """(suffix statistics, prior, margin expression or None) from url rows with a verdict."""
-    sample = (
-        labelled.select(*[c for c in labelled.columns if c in (*FEATURES, "suffix", "verdict", "url")])
-        .withColumn("order", F.xxhash64("url"))
-        .orderBy("order", "url")
-        .limit(TRAIN_ROWS)
-        .withColumn("label", F.when(F.col("verdict") == "block", 1.0).otherwise(0.0))
-        .cache()
-    )
+    """(share of blocked URLs by suffix, prior, margin expression or None, fitted model or None) from rows of lexical() with a verdict."""
+    rows = labelled.withColumn("label", F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).withColumn("fold", _fold())
+    counts = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+    counts = cut(counts)
+    n, blocked = counts.agg(F.sum("n"), F.sum("b")).first()
+    if not n or blocked in (0, n):
+        return None, float(bool(n and blocked)), None, None
+    prior = blocked / n
+    both = counts.groupBy("suffix").agg(F.sum("n").alias("all"), F.sum("b").alias("all_b"))
+    share = both.select("suffix", _share(F.col("all_b"), F.col("all"), prior).alias("suffix_blocked"))
+    others = counts.join(both, "suffix").select("suffix", "fold", _share(F.col("all_b") - F.col("b"), F.col("all") - F.col("n"), prior).alias("suffix_blocked"))
+    order = F.xxhash64("page_id", "url")
+    sample = rows.withColumn("order", order).orderBy("order", "page_id", "url").limit(TRAIN_ROWS).join(others, ["suffix", "fold"])
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label").cache()
     try:
-        n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
-        if not n or blocked in (0, n):
-            return [], float(bool(n and blocked)), None
-        prior = blocked / n
-        stats = (
-            sample.groupBy("suffix")
-            .agg(F.count("*").alias("n"), F.sum("label").alias("b"))
-            .orderBy(F.desc("n"), "suffix")
-            .limit(SUFFIXES)
-            .select("suffix", (F.col("b") + 5 * F.lit(prior)) / (F.col("n") + 5))
-            .collect()
-        )
-        stats = [(s, round(v, 6)) for s, v in stats if s]
-        train = sample.withColumn("suffix_blocked", _suffix_blocked(stats, prior))
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train).select("features", "label")
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.3, maxBins=32).fit(vectors)
-        margin = F.lit(0.0)
-        for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-            margin = margin + F.lit(float(weight)) * _tree(tree._call_java("rootNode"))
-        return stats, prior, margin
     finally:
-        sample.unpersist()
+        vectors.unpersist()
+    margin = F.lit(0.0)
+    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
+        margin = margin + F.lit(float(weight)) * _tree(tree._call_java("rootNode"))
+    return share, prior, margin, model
+
+
+def with_share(urls: DataFrame, share: DataFrame, prior: float) -> DataFrame:
+    """Rows of lexical() with the share of their suffix, or the prior."""
+    share = cut(share)
+    share = F.broadcast(share) if share.count() <= BROADCAST_SUFFIXES else share.hint("merge")
+    return urls.join(share, "suffix", "left").withColumn("suffix_blocked", F.coalesce("suffix_blocked", F.lit(prior)))
 
 
 def filter_urls(pages: DataFrame, rules=None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -149,11 +152,11 @@ def filter_urls(pages: DataFrame, rules=None, id_col: str = "page_id", url_col:
     d = d.withColumns({"host": host, "path": path})
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     d = d.withColumns({"rule": rule, "verdict": verdict})
-    stats, prior, margin = fit(lexical(d.filter("verdict is not null and url is not null")))
+    share, prior, margin, _ = fit(lexical(d.filter("verdict is not null and url is not null")))
     if margin is None:
         score = F.lit(prior)
     else:
-        d = lexical(d).withColumn("suffix_blocked", _suffix_blocked(stats, prior))
+        d = with_share(lexical(d), share, prior)
         score = 1 / (1 + F.exp(-2 * margin))
     return d.select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), F.round(score, 6).alias("block_score")

@@ -35,21 +35,34 @@ class WordVocabulary:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.suffix = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.tokens = {i: t for t, i in self.ids.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.ids))
+        self.suffix = self.tokenizer.model.end_of_word_suffix
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.by_byte = byte_alphabet()
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
+    # What only some operators need is made when it is first asked for.
+
+    @functools.cached_property
+    def ids(self) -> dict[str, int]:
+        return self.tokenizer.get_vocab(with_added_tokens=False)
+
+    @functools.cached_property
+    def tokens(self) -> dict[int, str]:
+        return {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self.ids))
+
+    @functools.cached_property
+    def ranks(self) -> dict[tuple[str, str], int]:
+        with open(self.path, encoding="utf-8") as f:
+            return {tuple(m): r for r, m in enumerate(json.load(f)["model"]["merges"])}
+
     def mapped(self, word: str) -> str:
         return word if word.isascii() else "".join(self.by_byte[b] for b in word.encode())
 

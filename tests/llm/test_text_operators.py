@@ -1,3 +1,4 @@
+import cmath
 import hashlib
 import math
 import random
@@ -9,7 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from orbweave.llm import bpe, common, language_id, media, near_dup, packing, pii, quality, substring, token_count, url_filter, word_pieces
@@ -41,6 +45,41 @@ def test_language_is_found_and_learns_from_its_rows_only(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def slow_counts(text):
+    plain = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+    plain, out = f" {plain} " if plain else " ", np.zeros(language_id.BUCKETS)
+    for n in (1, 2, 3):
+        for i in range(len(plain) - n + 1):
+            gram = 0
+            for c in plain[i : i + n]:
+                gram = (gram * 1_000_003 + ord(c)) % 2**64
+            out[(((gram + n) * 0x9E3779B97F4A7C15) % 2**64 >> 52) % language_id.BUCKETS] += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 1 << 18])
+def test_ngrams_and_languages_equal_brute_force(monkeypatch, docs, chunk):
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    texts = [t for _, t in docs[:25] if t and len(t) < 4000] + [t for _, t in ODD if not t or len(t) < 4000] + ["a  b", " é\n", "Ωß x" * 30]
+    counts, lettered = language_id.count_ngrams(texts)
+    assert lettered.tolist() == [any(c.isalpha() for c in t or "") for t in texts]
+    want = [slow_counts(t) for t in texts]
+    assert all((a == b).all() for a, b in zip(counts, want, strict=True))
+    rng = np.random.default_rng(1)
+    centroids = np.abs(rng.standard_normal((4, language_id.BUCKETS)))
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    idf = 1 + rng.random(language_id.BUCKETS)
+    model = {"languages": ["x", "y"], "owner": np.array([0, 1, 1, 0]), "centroids": centroids, "limits": np.array([0.5, 0.5]), "idf": idf}
+    for text, found, n in zip(texts, language_id.classify(model, texts), want, strict=True):
+        if not any(c.isalpha() for c in text or ""):
+            assert found == ("und", 0.0, True)
+            continue
+        v = [math.log1p(x) * w for x, w in zip(n, idf, strict=True)]
+        cosines = [sum(a * b for a, b in zip(v, c, strict=True)) / math.hypot(*v) for c in centroids]
+        best = max(range(4), key=cosines.__getitem__)
+        assert found[0] == "xyyx"[best] and abs(found[1] - cosines[best]) < 1e-4 and found[2] == (cosines[best] < 0.5)
+
+
 def test_language_of_odd_texts(spark, frame):
     train = frame([(i, "the cat and the dog of the house") for i in range(20)]).unionByName(frame([(i, "der hund und die katze") for i in range(20)], "de"))
     model = language_id.fit(train.select("doc_id", "text", "lang"))
@@ -373,6 +412,34 @@ def test_media_digests(frame):
     assert (out[3]["n_bytes"], out[3]["payload_sha256"]) == (0, hashlib.sha256(bytes(64)).hexdigest())
 
 
+def slow_fingerprint(data):
+    """Peak pairs by a plain discrete Fourier transform of each frame."""
+    x = list(data) + [0] * max(0, media.FRAME - len(data))
+    frames = 1 + -(-(len(x) - media.FRAME) // media.HOP)
+    x += [0] * ((frames - 1) * media.HOP + media.FRAME - len(x))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / (media.FRAME - 1)) for i in range(media.FRAME)]
+    peaks = []
+    for f in range(frames):
+        own = x[f * media.HOP : f * media.HOP + media.FRAME]
+        mean = sum(own) / len(own)
+        m = [round(abs(sum((v - mean) * w * cmath.exp(-2j * math.pi * k * i / media.FRAME) for i, (v, w) in enumerate(zip(own, window, strict=True)))), 2) for k in range(media.FRAME // 2 + 1)]
+        local = [(m[k], -k) for k in range(1, len(m) - 1) if m[k] > m[k - 1] and m[k] >= m[k + 1]]
+        peaks.append(-max(local)[1] if local else -1)
+    return [(t, (peaks[t] << 16) | (peaks[t + d] << 4) | d) for t in range(frames) for d in range(1, media.FAN + 1) if t + d < frames and peaks[t] >= 0 and peaks[t + d] >= 0]
+
+
+def test_fingerprint_equals_plain_transforms(docs):
+    for text in [docs[0][1][:1500], docs[1][1][:700], "", "x", "hello world " * 40]:
+        data, _ = media.payload(text)
+        t, h = media.fingerprint(data)
+        assert list(zip(t.tolist(), h.tolist(), strict=True)) == slow_fingerprint(data)
+
+
+def test_media_of_empty_tables(frame):
+    for f in (media.media_columns, media.media_digests):
+        assert f(frame([(1, "a")]).limit(0)).count() == 0
+
+
 def test_fingerprint_finds_a_tone():
     tone = bytes((128 + 100 * np.sin(2 * np.pi * 20 / media.FRAME * np.arange(4096))).astype(np.uint8))
     t, h = media.fingerprint(tone)
@@ -424,12 +491,21 @@ def test_the_size_of_blocks_changes_nothing(frame, word_tokenizer, hard_texts, s
 
 def test_encoding_equals_the_library(word_tokenizer, hard_texts):
     own = bpe.Encoder(word_pieces.vocabulary(WORD_BPE))
-    for (packed, text), e in zip(own.encode(hard_texts), word_tokenizer.encode_batch(hard_texts, add_special_tokens=False), strict=True):
+    back = bpe.Decoder(own.vocab)
+    for packed, e in zip(own.encode(hard_texts), word_tokenizer.encode_batch(hard_texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(packed, "<u4").tolist() == e.ids
-        assert text == word_tokenizer.decode(e.ids, skip_special_tokens=False)
+        assert back.decode(e.ids) == word_tokenizer.decode(e.ids, skip_special_tokens=False)
     assert 0 < own.merged < own.proposed
 
 
+def test_decoding_equals_the_library(spark, word_tokenizer):
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(word_tokenizer.get_vocab_size()) for _ in range(rng.randint(0, 60))]) for i in range(200)] + [(1000, None), (None, [5]), (1001, [10**6, 3, -1])]
+    out = {r["doc_id"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), WORD_BPE).collect()}
+    assert out.pop(1000) is None and out.pop(1001) == word_tokenizer.decode([3], skip_special_tokens=False)
+    assert out == {i: word_tokenizer.decode(ids, skip_special_tokens=False) for i, ids in rows if i != 1000 and i != 1001}
+
+
 def test_merging_long_words_equals_short_merging():
     v = word_pieces.vocabulary(WORD_BPE)
     rng = random.Random(4)
@@ -494,9 +570,48 @@ def test_packing_covers_every_id_once(spark, frame, docs):
     assert sorted(r["offset"] for r in same) == [0, same[0]["doc_tokens"]]
 
 
+def with_before(rows):
+    d = rows.withColumn("uid", F.monotonically_increasing_id()).cache()
+    own = Window.partitionBy("queue", F.shiftright("uid", 33)).orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    return d.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0)))
+
+
+def test_dealing_equals_a_sequential_round_robin(spark):
+    """Each window credits every queue its share and serves packets while the deficit lasts."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["=a"] * 5 + ["=b"] * 2 + ["=c"]), rng.randint(1, 3000)) for i in range(500)]
+    tokens = with_before(spark.createDataFrame(rows, "i long, queue string, n long").repartition(3))
+    held = tokens.orderBy("uid").collect()
+    for shares in (None, {"a": 0.2, "b": 0.5, "c": 0.3}):
+        total = sum(r["n"] for r in held)
+        queues, phases = {}, {r["queue"]: r["phase"] for r in tokens.select("queue", (F.xxhash64(F.lit("phase"), "queue") / F.lit(2.0**64) + 0.5).alias("phase")).distinct().collect()}
+        for r in held:
+            queues.setdefault(r["queue"], []).extend((r["uid"], a, min(packing.PACKET, r["n"] - a)) for a in range(0, r["n"], packing.PACKET))
+        share = {q: (shares or {}).get(q[1:], sum(p[2] for p in own) / total) for q, own in queues.items()}
+        deficit, order, window = dict.fromkeys(queues, 0.0), [], 0
+        while any(queues.values()):
+            window += 1
+            for q in sorted(queues):
+                deficit[q] += packing.LENGTH * share[q]
+                # A packet goes out once its phase's part of it is covered.
+                while queues[q] and deficit[q] > phases[q] * queues[q][0][2]:
+                    p = queues[q].pop(0)
+                    deficit[q] -= p[2]
+                    order.append(p)
+        place, want = 0, []
+        for uid, a, n in order:
+            head = min(n, packing.LENGTH - place % packing.LENGTH)
+            want.append((uid, a, head, place // packing.LENGTH, place % packing.LENGTH))
+            if n > head:
+                want.append((uid, a + head, n - head, place // packing.LENGTH + 1, 0))
+            place += n
+        got = [tuple(r) for r in packing.deal(tokens, shares=shares).select("uid", "start", "length", "sequence_id", "offset").collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_windows_hold_the_target_mixture(spark):
     rows = [(i, q, 300 + (i * 37) % 400) for q, m in (("=a", 600), ("=b", 200), ("=c", 200)) for i in range(m)]
-    tokens = spark.createDataFrame(rows, "i long, queue string, n long").repartition(4).withColumn("uid", F.monotonically_increasing_id()).cache()
+    tokens = with_before(spark.createDataFrame(rows, "i long, queue string, n long").repartition(4))
     for shares, want in ((None, 0.6), ({"a": 0.5, "b": 0.25, "c": 0.25}, 0.5)):
         d = packing.deal(tokens, shares=shares).join(tokens.select("uid", "queue"), "uid")
         by = {tuple(r)[:2]: r[2] for r in d.filter("sequence_id < 100").groupBy(F.floor(F.col("sequence_id") / 20).alias("w"), "queue").agg(F.sum("length")).collect()}
@@ -608,6 +723,36 @@ def test_url_trees_learn_the_labels(spark):
     assert (out[1000], out[1001]) == ("block", "allow")
 
 
+def test_compiled_trees_equal_the_model(spark, sf):
+    d = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").limit(3000)
+    host, path = url_filter.parts(F.col("url"))
+    d = d.withColumns({"host": host, "path": path})
+    rule, verdict = url_filter.by_rules(F.col("host"), F.col("path"))
+    urls = url_filter.lexical(d.withColumns({"rule": rule, "verdict": verdict}))
+    share, prior, margin, model = url_filter.fit(urls.filter("verdict is not null"))
+    scored = url_filter.with_share(urls, share, prior)
+    out = model.transform(VectorAssembler(inputCols=url_filter.FEATURES, outputCol="features").transform(scored.withColumn("margin", margin)))
+    rows = out.select("margin", vector_to_array("rawPrediction").alias("raw")).collect()
+    assert len(rows) > 40 and all(abs(2 * r["margin"] - (r["raw"][1] - r["raw"][0])) < 1e-9 for r in rows)
+
+
+def test_scores_of_held_out_hosts(spark):
+    """Labels that follow the path's shape are found on hosts that no training row has."""
+    rows = [(i, f"http://h{i % 40}.site{i % 40}.org/{'es' if i % 3 else 'fr'}/{'9' * 30 + '?a=1&b=2' if i % 3 else 'plain'}/{i}") for i in range(1200)]
+    rows += [(5000 + i, f"http://a{i}.net/de/{'plain'}/{i}") for i in range(400)]
+    new = [(9000 + i, f"http://new{i}.site.xyz/{'zz'}/{'9' * 30 + '?a=1&b=2' if i % 2 else 'plain'}/{i}") for i in range(40)]
+    out = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows + new, "page_id long, url string")).collect()}
+    right = sum(out[i] == ("block" if (i - 9000) % 2 else "allow") for i, _ in new)
+    assert right >= 36
+
+
+def test_urls_that_repeat_or_are_long(spark):
+    long = "http://example.com/en/" + "x" * 200_000
+    rows = [(None, long), (1, long), (1, long), (None, None)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == 4 and [r["verdict"] for r in out if r["host"]] == ["block"] * 3 and {r["path"] for r in out if r["host"]} == {long[18:]}
+
+
 @pytest.mark.parametrize("urls", [[], ["http://x.com/fr/1"], ["http://x.com/en/1", "http://y.org/fr/2"]])
 def test_urls_without_two_kinds_of_labels(spark, urls):
     d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
