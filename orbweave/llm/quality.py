@@ -3,7 +3,9 @@
 Every measure is a built-in expression over the whole text, so a pass is one scan
 without a shuffle or user function.  A null or empty text has no words and is not
 kept.  A null id stays null; repeated rows are judged alike; other columns of the
-input are not read, so their names cannot clash.
+input are not read, so their names cannot clash.  Repeated windows are found by the
+64-bit hashes of their words: two different windows of one text of a million words share
+one with a probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -104,7 +106,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *ca
             "mean_word_length": F.col("word_chars") / words,
             "symbols_per_word": F.col("n_symbols") / words,
             "marks_per_word": F.col("n_marks") / words,
-            "stop_word_ratio": F.col("n_stop_words") / words,
+            # One more than there are, so that a text of a few words is not judged by their absence.
+            "stop_word_ratio": (F.col("n_stop_words") + 1) / words,
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         }
     )
@@ -163,7 +166,7 @@ m as (select w.doc_id, len(words) as n_words, coalesce(list_sum(list_transform(w
   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
   len(list_filter(words, lambda x: lower(x) in ({stop})))::bigint as n_stop_words from w left join c using (doc_id)),
 q as (select *, word_chars / greatest(n_words, 1) as mean_word_length, n_symbols / greatest(n_words, 1) as symbols_per_word,
-  n_marks / greatest(n_words, 1) as marks_per_word, n_stop_words / greatest(n_words, 1) as stop_word_ratio,
+  n_marks / greatest(n_words, 1) as marks_per_word, (n_stop_words + 1) / greatest(n_words, 1) as stop_word_ratio,
   n_dup_lines / greatest(n_lines, 1) as dup_line_ratio, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {bounds} as kept,
   n_stop_words, n_lines, n_marks from q"""
