@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it wrote, and
 returns a DataFrame.  All but the last return the columns of the input documents; a stage
 that changes a text also sets ``n_chars`` to its new length.  Rows whose id is null pass
-through every stage; rows equal in id and text are one document, of which one row stays.
+through every stage; rows equal in id and text are one document, of which the row stays
+whose other columns are the first as JSON.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import near_dup, packing, pii, quality, substring
 from orbweave.llm.common import prepare, row_key, shared_dir, table
+from orbweave.sources import files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
     prepare(spark)
     found = near_dup.near_duplicates(docs).filter("kept").select(F.col("key").alias("_key")).distinct()
-    d = docs.withColumn("_key", F.unhex(row_key(F.col("doc_id").cast("long"), F.col("text"))))
-    return d.join(found, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    d = docs.select(F.unhex(row_key(F.col("doc_id").cast("long"), F.col("text"))).alias("_key"), F.struct(*docs.columns).alias("row"), rest.alias("rest"))
+    return d.join(found, "_key", "left_semi").groupBy("_key").agg(F.min_by("row", "rest").alias("row")).select("row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +74,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written to the shared folder, read again, and removed after the next one."""
     prepare(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            files.remove(spark, f"{folder}/{before}")
+        before = name
     return docs
