@@ -213,7 +213,8 @@ query("embed_tokens", f"select doc_id, i - 1 as pos, ws[i] as token from (select
     lambda s, d: tables.read(s, d, "documents").select("doc_id", F.posexplode(T.embedding_tokens(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 )
 query("bpe_tokens", f"select doc_id, sum(case when strlen(w) <= 2 or length(w) - 1 <= 2 then 1 else ceil(length(w) / 2) end)::bigint as n from (select doc_id, unnest(ws) as w from {WORDS}) group by doc_id")(
-    lambda s, d: tables.read(s, d, "documents").select("doc_id", F.size(T.bpe_tokens(T.embedding_tokens(F.col("text")), 4)).cast("long").alias("n"))
+    # A document without a token, or without a text, has no row.
+    lambda s, d: tables.read(s, d, "documents").select("doc_id", F.size(T.bpe_tokens(T.embedding_tokens(F.col("text")), 4)).cast("long").alias("n")).filter("n > 0")
 )
 PIECES = "case when strlen(w) <= 2 or length(w) - 1 <= 2 then [w] else list_transform(range(1, length(w) + 1, 2), lambda j: w[j:j+1]) end"
 query("bpe_pieces", f"select doc_id, i - 1 as pos, ps[i] as token from (select doc_id, ps, unnest(range(1, len(ps) + 1)) as i from (select doc_id, flatten(list_transform(ws, lambda w: {PIECES})) as ps from {WORDS}))")(

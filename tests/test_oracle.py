@@ -30,6 +30,17 @@ def test_same_rows(spark, sf, duck, name):
     assert rows(got) == rows(wanted)
 
 
+@pytest.mark.parametrize("name", [n for n in sorted(SQL) if "from documents" in SQL[n]])
+def test_same_rows_on_odd_texts(spark, tmp_path, name):
+    """Documents without a text or a token give the rows that SQL gives."""
+    texts = [None, "", " \n\t", "?! ...", "one", "The data, the DATA!", "é - data of it's", "don't stop of information", "x" * 3000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, wanted = QUERIES[name](spark, str(tmp_path)).toPandas(), c.execute(SQL[name]).df()
+    assert rows(got) == rows(wanted)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
