@@ -252,8 +252,8 @@ def _disclosure(df: Column, smoothing: float) -> Column:
 def class_pairs(found: DataFrame, generalise: float = GENERALISE, smoothing: float = SMOOTHING) -> DataFrame:
     """class, term, n (people), n_docs and p of the terms that may reveal a kind (by standing in the document) or a group (by standing beside it).
 
-    No term is in fewer documents than people it was found with, which bounds its disclosure
-    before the rest of the corpus is counted.
+    A term is in as many documents at least as those with an entity that hold it, which bounds
+    its disclosure before the rest of the corpus is counted.
     """
     total = float(found.count())
     held = found.filter(F.size("base") > 0)
@@ -263,7 +263,10 @@ def class_pairs(found: DataFrame, generalise: float = GENERALISE, smoothing: flo
     beside = F.array_distinct(F.transform("contexts", lambda c: F.struct(c["group"].alias("class"), c["term"].alias("term"))))
     by_group = held.select(F.inline(beside), "person")
     pairs = by_kind.union(by_group).groupBy("class", "term", "person").agg(F.count("*").alias("d")).groupBy("class", "term").agg(F.count("*").alias("n"), F.sum("d").alias("n_docs"))
-    return cut(pairs.join(classes, "class").filter(_disclosure(F.col("n"), smoothing) >= generalise))
+    among = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("among"))
+    least = F.col("n") + F.greatest(F.coalesce("among", F.lit(0)) - F.col("n_docs"), F.lit(0))
+    pairs = pairs.join(classes, "class").filter(_disclosure(F.col("n"), smoothing) >= generalise).join(among, "term", "left")
+    return cut(pairs.filter(_disclosure(least, smoothing) >= generalise).drop("among"))
 
 
 def revealing(pairs: DataFrame, df: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, smoothing: float = SMOOTHING) -> DataFrame:
@@ -273,12 +276,12 @@ def revealing(pairs: DataFrame, df: DataFrame, generalise: float = GENERALISE, r
     return scored.select("class", "term", "n", "df", "disclosure", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
-def holders(words: DataFrame, *pairs: DataFrame) -> DataFrame:
-    """key and term of every document that holds a term of one of the pairs; one pass over the corpus."""
+def document_counts(words: DataFrame, *pairs: DataFrame) -> DataFrame:
+    """term and all, the documents that hold it, of the terms of some pairs; one pass over (key, term) of the corpus."""
     wanted = pairs[0].select("term")
     for other in pairs[1:]:
         wanted = wanted.union(other.select("term"))
-    return cut(words.join(_small(wanted.distinct(), "term"), "term", "left_semi"))
+    return cut(words.join(_small(cut(wanted.distinct()), "term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("all")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,17 +289,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = _keyed(docs, id_col, text_col).withColumn("source", F.coalesce("source", F.lit("")))
     found = cut(described(d))
     values, classes = value_pairs(found), class_pairs(found)
-    held = holders(d.select("key", F.explode(_terms(F.col("source"))).alias("term")), values, classes)
-    df = held.groupBy("term").agg(F.count("*").alias("all"))
+    words = d.select("key", F.explode(_terms(F.col("source"))).alias("term"))
+    df = document_counts(words, values, classes)
 
     span = ["key", "start", "end", "action"]
     near = found.filter(F.size("contexts") > 0).select("key", F.inline("contexts"))
     told = cut(revealing(classes, df).select("class", "term", "action"))
     places = near.join(disclosing(found, values, df), ["entity", "term"]).select(span)
     places = places.union(near.join(told.withColumnRenamed("class", "group"), ["group", "term"]).select(span))
-    kinds = told.filter(F.col("class").isin([*KINDS, KEY])).groupBy("term").agg(F.max("action").alias("action"))
+    kinds = cut(told.filter(F.col("class").isin([*KINDS, KEY])).groupBy("term").agg(F.max("action").alias("action")))
     if not kinds.isEmpty():
-        places = places.union(_anywhere(d, held, found, kinds).select(span))
+        places = places.union(_anywhere(d, words, found, kinds).select(span))
 
     # A term that several ways name takes the stronger action.
     terms = places.groupBy("key", "start", "end").agg(F.max("action").alias("action"))
@@ -305,9 +308,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.select("id", "key", "base").join(terms, "key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
-def _anywhere(d: DataFrame, held: DataFrame, found: DataFrame, kinds: DataFrame) -> DataFrame:
+def _anywhere(d: DataFrame, words: DataFrame, found: DataFrame, kinds: DataFrame) -> DataFrame:
     """key, start, end and action wherever one of the terms stands outside of an entity."""
-    hits = held.join(_small(kinds, "term"), "term").groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
+    hits = words.join(_small(kinds, "term"), "term").groupBy("key").agg(F.collect_set(F.struct("term", "action")).alias("told"))
     hits = cut(hits.join(found.select("key", "base").dropDuplicates(["key"]), "key"))
     # Few documents hold such a term as a rule; then no text is shuffled for them.
     size = F.length(F.to_json(F.struct("told", "base"))) + 16
