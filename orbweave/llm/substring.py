@@ -1,7 +1,7 @@
 """Repeated lines and passages: the earliest ranked occurrence of a unit stays, the others go.
 
 A text is its words (runs of anything but white space, A-Z in lower case).  Two kinds of
-units are digested (128 bits) and grouped over the whole corpus: whole lines (or
+units are digested (96 bits) and grouped over the whole corpus: whole lines (or
 paragraphs) of ``LINE_WORDS`` words or more, and runs of ``WINDOW`` words at any place, so
 that a passage is found in the middle of lines and across them.  A unit is repeated if the
 same words stand earlier as such a unit, by (doc_id, row key, position); all its words go.
@@ -170,7 +170,7 @@ def _units(batch, row, text, w, at, end):
 
     take = pa.array(row + text)
     first = w.first[text]
-    columns = [_signed(w.digests(k, at, end)) for k in range(2)]
+    columns = [_signed(w.digests(0, at, end)), (w.digests(1, at, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)]
     return pa.RecordBatch.from_arrays(
         [*map(pa.array, columns), batch.column("id").take(take), batch.column("key").take(take), pa.array((at - first).astype(np.int32)), pa.array((end - at).astype(np.int32))],
         names=["high", "low", "id", "key", "at", "n"],
@@ -265,9 +265,10 @@ def _rebuild(text: str, gone: list[tuple[int, int]], words) -> tuple[list[dict],
 def remove_repeats(docs: DataFrame, unit: str = "line", window: int = WINDOW, gram: int = GRAM, min_words: int = LINE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (the input's columns), removed (start, end and words of each span) and text of each row."""
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("source"))
-    d = d.withColumn("key", F.unhex(row_key(F.col("id"), F.col("source"))))
+    # 96 bits name a document, as they do a unit: they are most of what is shuffled.
+    d = d.withColumn("key", F.substring(F.unhex(row_key(F.col("id"), F.col("source"))), 1, 12))
     texts = d.filter("source is not null")
-    schema = f"high long, low long, id {d.schema['id'].dataType.simpleString()}, key binary, at int, n int"
+    schema = f"high long, low int, id {d.schema['id'].dataType.simpleString()}, key binary, at int, n int"
 
     tagged = texts.withColumn("tag", F.xxhash64("source"))
     seen = tagged.select("tag", "source").mapInArrow(_anchor_rows(window, gram), "anchor long, tag long, twice boolean")
