@@ -221,6 +221,7 @@ query("bpe_pieces", f"select doc_id, i - 1 as pos, ps[i] as token from (select d
     lambda s, d: tables.read(s, d, "documents").select("doc_id", F.posexplode(T.bpe_tokens(T.embedding_tokens(F.col("text")), 4)).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
 )
 query("token_estimate", "select doc_id, strlen(text) // 4 + 1 as tokens from documents")(lambda s, d: tables.read(s, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens")))
+query("text_shortened", "select doc_id, case when length(text) <= 50 then text else text[:50] || '...' end as short from documents")(lambda s, d: tables.read(s, d, "documents").select("doc_id", T.shortened(F.col("text")).alias("short")))
 query("embed_local_384")(lambda s, d: tables.read(s, d, "documents").select("doc_id", T.embed_text(F.col("text")).alias("embedding")))
 BYTES = "select doc_id, (i - 1) % 128 as slot, sum(('0x' || substr(h, 2 * i - 1, 2))::int) as v from (select doc_id, hex(encode(text)) as h, unnest(range(1, strlen(text) + 1)) as i from documents) group by all"
 query("embed_bytes_128", f"select doc_id, slot, round(cast(cast(v / size as float) as double), 6) as value from (select *, sqrt(sum(v * v) over (partition by doc_id)) as size from ({BYTES}))")(

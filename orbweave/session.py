@@ -27,7 +27,7 @@ from .functions import vectors as V
 from .operators import graph, kv, retrieval, vector
 from .plans.parser import Delete, Insert, Match, parse
 from .plans.resolver import resolve
-from .sources import log, snapshot
+from .sources import files, log, snapshot
 from .sources.index_store import IndexManager
 from .sources.shared import scratch
 
@@ -447,6 +447,10 @@ class Engine:
             raise NotFoundError("the engine has no root folder")
         return self.root
 
+    def compact(self, source: str, target: str) -> int:
+        """Rewrites a stored table with small files; the number of files written."""
+        return files.compact(self.spark, source, target, self.config.small_file_bytes)
+
     def collect_garbage(self, as_of=None) -> dict[str, int]:
         """Rows or parts that each step of a cycle removed.
 
