@@ -17,8 +17,10 @@ def latest_documents(docs: DataFrame, version: str) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of its terms; a document is one row, so nothing is shuffled."""
-    return docs.select("doc_id", T.counted(T.index_terms(F.col("text"))).alias("terms"))
+    """doc_id, the counts of its terms and the largest of them; a document is one row, so nothing is shuffled."""
+    d = docs.select("doc_id", T.counted(T.index_terms(F.col("text"))).alias("terms"))
+    # Before terms are spread over rows, or each row would look for the largest again.
+    return d.select("doc_id", "terms", F.array_max(F.transform("terms", lambda t: t["n"])).alias("most"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -31,14 +33,13 @@ def postings(docs: DataFrame, version: str | None = None) -> DataFrame:
 
     With a ``version`` column only the last version of each document counts (D18).
     """
-    d = _counted(docs if version is None else latest_documents(docs, version))
-    d = d.select("doc_id", F.array_max(F.transform("terms", lambda t: t["n"])).alias("most"), F.inline("terms"))
+    d = _counted(docs if version is None else latest_documents(docs, version)).select("doc_id", "most", F.inline("terms"))
     return d.select(F.col("value").alias("term"), "doc_id", F.col("n").alias("freq"), (F.col("n") / F.col("most")).alias("tf"))
 
 
 def postings_of(docs: DataFrame, terms: list[str]) -> DataFrame:
     """postings() of some terms, for a search without an index: other terms are counted inside the row only."""
-    d = _counted(docs).select("doc_id", F.array_max(F.transform("terms", lambda t: t["n"])).alias("most"), F.filter("terms", lambda t: t["value"].isin(terms or [""])).alias("terms"))
+    d = _counted(docs).select("doc_id", "most", F.filter("terms", lambda t: t["value"].isin(terms or [""])).alias("terms"))
     d = d.select("doc_id", "most", F.inline("terms"))
     return d.select(F.col("value").alias("term"), "doc_id", F.col("n").alias("freq"), (F.col("n") / F.col("most")).alias("tf"))
 

@@ -415,12 +415,12 @@ query("context_lines", "select conv_id, turn, role || ': ' || text as line from
 # Snapshots
 
 
-@query("snapshot_roundtrip", "select node_id as a, cast(null as bigint) as b, label as what, name as more from nodes union all select from_node, to_node, relation, cast(weight as varchar) from (select from_node, to_node, relation, cast(weight * 100 as bigint) as weight from edges)", "nodes", "edges")
+@query("snapshot_roundtrip", "select node_id as a, cast(-1 as bigint) as b, label as what, name as more from nodes union all select from_node, to_node, relation, cast(weight as varchar) from (select from_node, to_node, relation, cast(weight * 100 as bigint) as weight from edges)", "nodes", "edges")
 def _roundtrip(s, d):
     root = scratch(s)
     name = snapshot.create(s, root, {"nodes": tables.nodes(s, d), "edges": tables.edges(s, d)}, AS_OF)
     back = snapshot.restore(s, root, name)
-    nodes = back["nodes"].select(F.col("node_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("label").alias("what"), F.col("properties")["name"].alias("more"))
+    nodes = back["nodes"].select(F.col("node_id").alias("a"), F.lit(-1).cast("long").alias("b"), F.col("label").alias("what"), F.col("properties")["name"].alias("more"))
     return nodes.union(back["edges"].select("from_node", "to_node", "relation", F.round(F.col("weight") * 100).cast("long").cast("string")))
 
 
