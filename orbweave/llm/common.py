@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import cut, scratch, shared_dir
 
-__all__ = ["cut", "let", "prepare", "release", "row_key", "shared_dir", "slices", "table", "utf8_buffers"]
+__all__ = ["cut", "let", "prepare", "release", "row_key", "scratch", "shared_dir", "slices", "table", "utf8_buffers"]
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

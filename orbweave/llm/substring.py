@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, release, row_key, slices, table, utf8_buffers
+from ..sources import files
+from .common import cut, prepare, release, row_key, scratch, slices, table, utf8_buffers
 
 WINDOW = 50
 GRAM = 25
@@ -216,10 +217,29 @@ def _line_rows(least: int, breaks: int):
 def _stored(df: DataFrame) -> DataFrame:
     """``df`` cut, and what it took on disk gone: a second collection frees what the first uncovered."""
     df = cut(df)
+    _free(df.sparkSession)
+    return df
+
+
+def _free(spark: SparkSession) -> None:
     for _ in range(2):
-        release(df.sparkSession)
+        release(spark)
         time.sleep(1)
-    return df
+
+
+def _repeated(units: DataFrame) -> DataFrame:
+    """key and the word ranges of the units that stand earlier too.
+
+    The units are written once: counting and joining them read the file, not the texts, and
+    what was shuffled to find them is gone by then.
+    """
+    spark, path = units.sparkSession, scratch(units.sparkSession)
+    units.write.parquet(path)
+    del units
+    _free(spark)
+    gone = _stored(_ranges(_later(spark.read.parquet(path))))
+    files.remove(spark, path)
+    return gone
 
 
 def _later(units: DataFrame) -> DataFrame:
@@ -279,8 +299,8 @@ def remove_repeats(docs: DataFrame, unit: str = "line", window: int = WINDOW, gr
     wanted = _stored(firsts.select("tag", F.col("kept.key").alias("key")).join(wanted, "tag").select("key", "anchors"))
 
     near = texts.select("id", "key", "source").join(wanted, "key").select("id", "key", "source", "anchors")
-    gone = _stored(_ranges(_later(near.mapInArrow(_window_rows(window, gram), schema))))
-    lines = _stored(_ranges(_later(texts.select("id", "key", "source").mapInArrow(_line_rows(min_words, BREAKS[unit]), schema))))
+    gone = _repeated(near.mapInArrow(_window_rows(window, gram), schema))
+    lines = _repeated(texts.select("id", "key", "source").mapInArrow(_line_rows(min_words, BREAKS[unit]), schema))
 
     copies = named.join(firsts.filter("times > 1").select("digest", "kept"), "digest").filter("key <> kept.key").select("key").distinct()
     whole = copies.select("key", F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))).alias("gone"))
