@@ -281,7 +281,8 @@ def document_counts(words: DataFrame, *pairs: DataFrame) -> DataFrame:
     wanted = pairs[0].select("term")
     for other in pairs[1:]:
         wanted = wanted.union(other.select("term"))
-    return cut(words.join(_small(cut(wanted.distinct()), "term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("all")))
+    # Counted before the join: a count is one row for each term and task, whatever the candidates are.
+    return cut(words.groupBy("term").agg(F.count("*").alias("all")).join(_small(cut(wanted.distinct()), "term"), "term"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
