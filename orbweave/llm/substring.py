@@ -224,7 +224,7 @@ def _stored(df: DataFrame) -> DataFrame:
 def _free(spark: SparkSession) -> None:
     for _ in range(2):
         release(spark)
-        time.sleep(1)
+        time.sleep(0.4)
 
 
 def _repeated(units: DataFrame) -> DataFrame:
